@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from . import media, sharding
+import os
+
+from . import media, pieces, sharding, tokenfiles
 from .store import table
 
+#: Folder of the public vocabulary files; QUIRE_TOKENIZERS names another.
+TOKENIZERS = os.environ.get("QUIRE_TOKENIZERS", "/opt/tokenizers")
+
 
 def op3_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"), 24)
@@ -14,5 +19,19 @@ def op6_media_columns(spark, sf_dir):
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_sharding": op3_sharding, "op6_media_columns": op6_media_columns}
+
+def op7_pieces(spark, sf_dir):
+    return pieces.digest(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+def op8_token_files(spark, sf_dir):
+    return tokenfiles.token_file_digest(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
+QUERIES = {
+    "op3_sharding": op3_sharding,
+    "op6_media_columns": op6_media_columns,
+    "op7_pieces": op7_pieces,
+    "op8_token_files": op8_token_files,
+}
 ORACLES: dict[str, str] = {}
