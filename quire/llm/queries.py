@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from . import media, pieces, sharding, tokenfiles
+from . import media, pieces, sharding, simhash, tokenfiles
 from .store import table
 
 #: Folder of the public vocabulary files; QUIRE_TOKENIZERS names another.
@@ -15,6 +15,10 @@ def op3_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"), 24)
 
 
+def op5_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_media_columns(spark, sf_dir):
     return media.media_digest(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,7 @@ def op8_token_files(spark, sf_dir):
 
 QUERIES = {
     "op3_sharding": op3_sharding,
+    "op5_simhash": op5_simhash,
     "op6_media_columns": op6_media_columns,
     "op7_pieces": op7_pieces,
     "op8_token_files": op8_token_files,
