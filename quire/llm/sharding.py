@@ -158,8 +158,10 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
         total, n, last = total + r["size"], n + r.n, r["last"]
     if not base:
         base = [(0, 0, 0, True)]
-    placed = rows.join(F.broadcast(spark.createDataFrame(base, "part long, base long, n_base long, opens boolean")), "part").select(
-        "doc_id", "size", "text_crc32", (F.col("base") + F.col("before")).alias("cut"), (F.col("n_base") + F.col("place")).alias("row"), F.coalesce("starts", "opens").alias("starts")
+    offsets = F.broadcast(spark.createDataFrame(base, "part long, base long, n_base long, opens boolean"))
+    placed = written(
+        rows.join(offsets, "part").select("doc_id", "size", "text_crc32", (F.col("base") + F.col("before")).alias("cut"), (F.col("n_base") + F.col("place")).alias("row"), F.coalesce("starts", "opens").alias("starts")),
+        "shard-places",
     )
     positions = placed.where("starts").select("cut")
     index = CutIndex(total)
