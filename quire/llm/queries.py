@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import os
 
-from . import media, pieces, sharding, simhash, tokenfiles
+from . import media, pieces, sharding, simhash, tokenfiles, toxicity
 from .store import table
 
 #: Folder of the public vocabulary files; QUIRE_TOKENIZERS names another.
 TOKENIZERS = os.environ.get("QUIRE_TOKENIZERS", "/opt/tokenizers")
 
 
+def op1_toxicity(spark, sf_dir):
+    return toxicity.score_corpus(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"), 24)
 
@@ -33,6 +37,7 @@ def op8_token_files(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_sharding": op3_sharding,
     "op5_simhash": op5_simhash,
     "op6_media_columns": op6_media_columns,

@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.runtime import ship
+
 _DIR = "spark.checkpoint.dir"
 
 
@@ -39,6 +41,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
