@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from . import media, pieces, sharding, simhash, tokenfiles, toxicity
+from . import media, pieces, pii, sharding, simhash, tokenfiles, toxicity
 from .store import table
 
 #: Folder of the public vocabulary files; QUIRE_TOKENIZERS names another.
@@ -19,6 +19,10 @@ def op3_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"), 24)
 
 
+def op4_pii(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents")).drop("sanitised")
+
+
 def op5_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op8_token_files(spark, sf_dir):
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_sharding": op3_sharding,
+    "op4_pii": op4_pii,
     "op5_simhash": op5_simhash,
     "op6_media_columns": op6_media_columns,
     "op7_pieces": op7_pieces,
