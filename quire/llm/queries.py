@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from . import media, pieces, pii, sharding, simhash, tokenfiles, toxicity
+from . import decontamination, licenses, media, pieces, pii, sharding, simhash, tokenfiles, toxicity
 from .store import table
 
 #: Folder of the public vocabulary files; QUIRE_TOKENIZERS names another.
@@ -15,6 +15,10 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.score_corpus(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_licenses(spark, sf_dir):
+    return licenses.scan(licenses.document_files(table(spark, sf_dir, "documents")))
+
+
 def op3_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"), 24)
 
@@ -40,13 +44,19 @@ def op8_token_files(spark, sf_dir):
     return tokenfiles.token_file_digest(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op10_decontamination(spark, sf_dir):
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_licenses": op2_licenses,
     "op3_sharding": op3_sharding,
     "op4_pii": op4_pii,
     "op5_simhash": op5_simhash,
     "op6_media_columns": op6_media_columns,
     "op7_pieces": op7_pieces,
     "op8_token_files": op8_token_files,
+    "op10_decontamination": op10_decontamination,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_licenses": licenses.oracle(), "op10_decontamination": decontamination.oracle()}
