@@ -48,14 +48,15 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed 64-bit number. Null text counts as empty."""
+    """doc_id, fp (the fingerprint as a signed 64-bit number) and text_key (a hash of the text). Null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(x or b"", width) for x in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), b.column(2)], names=["doc_id", "fp", "text_key"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col(text_col).cast("string").cast("binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key")).mapInArrow(run, "doc_id long, fp long, text_key long")
 
 
 def _lists(kept: int) -> list[tuple[int, np.uint64]]:
@@ -145,6 +146,13 @@ def links(fps: DataFrame, most: int = 2) -> DataFrame:
     return postings.repartition(n, "which", "key").sortWithinPartitions("which", "key").mapInArrow(_link(most), "a long, b long").distinct()
 
 
+def _classes(marked: DataFrame, most: int) -> DataFrame:
+    """fp and component, the least connected fingerprint."""
+    fps = written(marked.select("fp").distinct(), "simhash-nodes")
+    label = components(links(fps, most))  # only fingerprints with links
+    return written(fps.join(label, fps.fp == label.node, "left").select("fp", F.coalesce("component", "fp").alias("component")), "simhash-classes")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable over links.
 
@@ -154,9 +162,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are ignored.
     """
     marked = written(fingerprints(docs, id_col, text_col, width), "simhash")
-    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    label = components(links(nodes, most))  # node, component; only fingerprints with links
-    joined = written(nodes.join(label, nodes.fp == label.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "simhash-labels")
-    least = written(joined.groupBy("component").agg(F.min("least").alias("component_id")), "simhash-least")
-    final = written(joined.join(least, "component").select("fp", "component_id"), "simhash-classes")
-    return marked.join(final, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    labelled = written(marked.join(_classes(marked, most), "fp").select("doc_id", "fp", "component"), "simhash-labels")
+    least = written(labelled.groupBy("component").agg(F.min("doc_id").alias("component_id")), "simhash-least")
+    return labelled.join(least, "component").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 3, most: int = 2) -> DataFrame:
+    """The rows of docs, all columns, without near-duplicates: of each component the row with the smallest doc_id stays (a null id comes
+    last, ties go to the least hash of the text), once if it is repeated."""
+    marked = written(fingerprints(docs, width=width), "simhash")
+    labelled = written(marked.join(_classes(marked, most), "fp").select("doc_id", "text_key", "component"), "simhash-labels")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
+    least = written(labelled.groupBy("component").agg(first.alias("r")).select("component", F.col("r.doc_id").alias("keep_id"), F.col("r.text_key").alias("keep_key")), "simhash-least")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("text_key").eqNullSafe(F.col("keep_key"))
+    judged = written(labelled.join(least, "component").groupBy("doc_id", "text_key").agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("n")), "simhash-judged")
+    key = lambda df: df.select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & F.xxhash64(F.col("text").cast("string").cast("binary")).eqNullSafe(F.col("__key"))
+    kept = docs.join(key(judged.where(~F.col("stays"))), same, "left_anti")
+    repeated = written(key(judged.where(F.col("stays") & (F.col("n") > 1))), "simhash-repeated")
+    if repeated.isEmpty():
+        return kept
+    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
