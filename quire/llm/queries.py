@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from . import decontamination, licenses, media, pieces, pii, sharding, simhash, tokenfiles, toxicity
+from . import decontamination, licenses, media, pieces, pii, sharding, simhash, suffixdedup, tokenfiles, toxicity
 from .store import table
 
 #: Folder of the public vocabulary files; QUIRE_TOKENIZERS names another.
@@ -44,6 +44,10 @@ def op8_token_files(spark, sf_dir):
     return tokenfiles.token_file_digest(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op9_suffix_dedup(spark, sf_dir):
+    return suffixdedup.repeat_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark, sf_dir):
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op6_media_columns": op6_media_columns,
     "op7_pieces": op7_pieces,
     "op8_token_files": op8_token_files,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_decontamination": op10_decontamination,
 }
 ORACLES = {"op2_licenses": licenses.oracle(), "op10_decontamination": decontamination.oracle()}
