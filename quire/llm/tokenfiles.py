@@ -11,6 +11,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from typing import BinaryIO
 
@@ -26,7 +27,9 @@ from .store import new_dir, parts, written
 #: Magic numbers of the seekable format; bit 7 of the descriptor: checksums present.
 SKIPPABLE, SEEKABLE, WITH_CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 #: Chunks up to CACHED characters are remembered, CHUNKS of them at most.
-CACHED, CHUNKS = 48, 400_000
+CACHED, CHUNKS = 48, 500_000
+#: Punctuation that may follow a word.
+TAILS = ".,;:!?"
 
 
 def _checksum(data: bytes) -> int:
@@ -89,6 +92,8 @@ class ChunkEncoder:
 
     Normaliser, pre-tokeniser and added tokens of this vocabulary never reach across those two
     characters, so a text's ids are its chunks' ids in order; a chunk is encoded by the library once.
+    A run of letters below U+0100, perhaps with a punctuation mark after it, needs no normaliser but
+    lower case and is one pre-token (and the mark another): such words go straight to the library's BPE model.
     """
 
     def __init__(self, spec: str):
@@ -97,23 +102,57 @@ class ChunkEncoder:
 
         self.tok = Tokenizer.from_str(spec)
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}
+        self.kind = "H" if self.width == 2 else "I"
+        self.model = self.tok.model
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies write as themselves
+        others = [b for b in range(256) if b not in set(printable)]
+        self.letters = str.maketrans({b: chr(256 + k) for k, b in enumerate(others)})
+        self.known: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
+        self.marks = {m: self._whole([m])[0] for m in TAILS}
+        probes = ["the", "Na\u00efve", "Stra\u00dfe,", "\u00e9t\u00e9.", "Idea!", "x"]
+        self.direct = [self._direct(c) for c in probes] == self._whole(probes)
+
+    def _whole(self, chunks: list[str]) -> list[bytes]:
+        return [array(self.kind, e.ids).tobytes() for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _direct(self, chunk: str) -> bytes | None:
+        """Ids by the model alone, or None where the chunk is no such word."""
+        stem, tail = chunk, ""
+        if not chunk.isalpha():
+            stem, tail = chunk[:-1], chunk[-1]
+            if tail not in self.marks or not stem.isalpha():
+                return None
+        if not stem.isascii() and max(stem) > "\u00ff":
+            return None
+        stem = stem.lower()
+        raw = self.words.get(stem)
+        if raw is None:
+            written = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.letters)
+            raw = self.words[stem] = array(self.kind, [t.id for t in self.model.tokenize(written)]).tobytes()
+        return raw + self.marks[tail] if tail else raw
 
     def batch(self, texts: Iterable[str]) -> Iterator[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > CHUNKS:
-            self.known.clear()
-        new = [w for w in set().union(*split) if w not in self.known]
+            self.known = {"": b""}
+            self.words = {}
         rest: dict[str, bytes] = {}
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for w, e in zip(part, self.tok.encode_batch(part, add_special_tokens=False), strict=True):
-                (self.known if len(w) <= CACHED else rest)[w] = np.array(e.ids, f"<u{self.width}").tobytes()
+        odd = []
+        for c in set().union(*split) - self.known.keys():
+            raw = self._direct(c) if self.direct else None
+            if raw is None:
+                odd.append(c)
+            else:
+                (self.known if len(c) <= CACHED else rest)[c] = raw
+        for k in range(0, len(odd), 1024):
+            for c, raw in zip(odd[k : k + 1024], self._whole(odd[k : k + 1024]), strict=True):
+                (self.known if len(c) <= CACHED else rest)[c] = raw
         for words in split:
             try:
                 yield b"".join(map(self.known.__getitem__, words))
             except KeyError:
-                yield b"".join([rest[w] if w in rest else self.known[w] for w in words])
+                yield b"".join([rest[c] if c in rest else self.known[c] for c in words])
 
 
 _ENCODER: dict[str, ChunkEncoder] = {}
