@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 from .store import parts, written
 
 SPAN, HEAD, REACH = 50, 20, 30
-BLOCK, CHUNK, PAD, HOT = 2 << 20, 1 << 18, 64, 20_000
+BLOCK, CHUNK, PAD, HOT = 2 << 20, 1 << 18, 64, 100_000
 NOBODY = np.iinfo(np.int64).max  # stands for a null id: larger than any other
-HEAD_BITS = 40
+HEAD_BITS, CONTEXT_BITS = 40, 48
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _S31, _S29 = np.uint64(31), np.uint64(29)
 
@@ -139,7 +139,7 @@ class Block:
         for n, offset in ((32, 0), (16, 32), (2, 48), (16, -30), (8, -14), (4, -6), (2, -2)):
             v = level[n][place + offset]
             context = (context ^ (context >> _S29)) * _M2 + (v ^ (v >> _S31)) * _M1
-        return place + low, head[place] >> np.uint64(64 - HEAD_BITS), (context ^ (context >> _S31)) * _M3
+        return place + low, head[place] >> np.uint64(64 - HEAD_BITS), ((context ^ (context >> _S31)) * _M3) >> np.uint64(64 - CONTEXT_BITS)
 
     def room(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the document before (REACH at most) and from (SPAN at most) each anchor."""
@@ -166,6 +166,7 @@ def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
 # --- comparing anchors by hashes ------------------------------------------------------------------
 
 LISTS = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("body", pa.binary())])
+STATUS = LISTS.append(pa.field("crowded", pa.bool_()))
 FULL, EDGE, CROWD = 1, 2, 3  # repeats an earlier context; different contexts share its head; very many do
 
 
@@ -195,7 +196,7 @@ def _list_heads(n: int):
                     used, k = np.unique(which[s], return_inverse=True)
                     own = docs[used]
                     head = np.array([len(k), len(own), own[0]], "<i8").tobytes() + _planes(np.diff(own, prepend=own[0]), 8)
-                    rows.append((r, number, _zip(head + _planes(b.heads[s], 5) + b.contexts[s].astype("<u8").tobytes() + _planes(k, 2 if len(own) < 1 << 16 else 4))))
+                    rows.append((r, number, _zip(head + _planes(b.heads[s], 5) + _planes(b.contexts[s], 6) + _planes(k, 2 if len(own) < 1 << 16 else 4))))
             for k in range(0, len(rows), 64):
                 yield _rows(LISTS, rows[k : k + 64])
 
@@ -208,7 +209,7 @@ def _unlist(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = 24 + 8 * docs
     own = least + np.cumsum(_from_planes(raw[24:at], 8).astype(np.int64))
     heads, at = _from_planes(raw[at : at + 5 * n], 5), at + 5 * n
-    contexts, at = np.frombuffer(raw, "<u8", n, at), at + 8 * n
+    contexts, at = _from_planes(raw[at : at + 6 * n], 6), at + 6 * n
     return heads, contexts, own[_from_planes(raw[at:], 2 if docs < 1 << 16 else 4).astype(np.int64)]
 
 
@@ -247,9 +248,9 @@ def _judge_heads(hot: int):
                 s = status[at : at + n]
                 at += n
                 if s.any():
-                    out_rows.append((r, block, _zip(s.tobytes())))
+                    out_rows.append((r, block, _zip(s.tobytes()), bool((s == CROWD).any())))
             for k in range(0, len(out_rows), 256):
-                yield _rows(LISTS, out_rows[k : k + 256])
+                yield _rows(STATUS, out_rows[k : k + 256])
 
     return run
 
@@ -536,13 +537,17 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, hot: int) -> tuple[DataFr
     blocks = written(source.mapInArrow(_to_blocks, BLOCK_SCHEMA), "suffix-blocks")
     kind = "range int, block long, body binary"
     lists = blocks.mapInArrow(_list_heads(n), kind)
-    status = written(lists.repartition(n, "range").mapInArrow(_judge_heads(hot), kind), "suffix-status")
+    status = written(lists.repartition(n, "range").mapInArrow(_judge_heads(hot), kind + ", crowded boolean"), "suffix-status")
     # Splitters need only be roughly even; they come from eight blocks.
     heads = sorted(r["head"] for r in blocks.orderBy(F.hash("block")).limit(8).mapInArrow(_sample_heads, "head binary").collect())
     splitters = sorted({bytes(heads[k * len(heads) // n]) for k in range(1, n)}) if heads else []
     judged = _with_side(blocks, (0, status))
     found = written(judged.mapInArrow(_cut_runs(n, splitters), kind).repartition(n, "range").mapInArrow(_merge_runs, kind), "suffix-reaches")
-    strings = written(judged.mapInArrow(_crowd_strings(n), "block long, entry long, before int, key binary, owner long"), "suffix-crowds")
+    crowded = status.where("crowded").select("block").distinct()
+    if crowded.isEmpty():
+        return _with_side(blocks, (0, status), (1, found)), n
+    strings = judged.join(crowded, "block", "left_semi").mapInArrow(_crowd_strings(n), "block long, entry long, before int, key binary, owner long")
+    strings = written(strings, "suffix-crowds")
     least = written(strings.groupBy("key").agg(F.min("owner").alias("least")), "suffix-owners")
     crowds = strings.join(least, "key").where(F.col("owner") > F.col("least"))
     crowds = crowds.groupBy("block", "entry").agg(F.max("before").alias("before"), (F.lit(SPAN) - F.min("before")).alias("after"))
