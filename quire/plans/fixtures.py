@@ -39,8 +39,8 @@ def lines_as_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def words_as_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 400 words of a page as fragments on a grid in which some rows merge into one line."""
-    words = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "[ \n]")).alias("pos", "word")).where("pos < 400")
+    """The words of a page as fragments on a grid in which some rows merge into one line."""
+    words = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "[ \n]")).alias("pos", "word"))
     return words.selectExpr(
         "doc_id div 10 as doc_id",
         "cast(doc_id % 10 + 1 as int) as page",
