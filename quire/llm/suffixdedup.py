@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .store import parts, written
 
 SPAN, HEAD, REACH = 50, 20, 30
-BLOCK, CHUNK, PAD, HOT = 2 << 20, 1 << 18, 64, 100_000
+BLOCK, CHUNK, PAD, HOT, SLICES = 2 << 20, 1 << 18, 64, 100_000, 6
 NOBODY = np.iinfo(np.int64).max  # stands for a null id: larger than any other
 HEAD_BITS, CONTEXT_BITS = 40, 48
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -220,10 +220,12 @@ def _judge_heads(hot: int):
         for b in batches:
             for r, block, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 lists.setdefault(r, []).append((block, body))
-        for r, rows in lists.items():
+        while lists:
+            r, rows = lists.popitem()
             parts_ = [_unlist(body) for _, body in rows]
             sizes = [len(x[0]) for x in parts_]
             heads, contexts, owners = (np.concatenate(x) for x in zip(*parts_, strict=True))
+            del parts_
             order = np.argsort(heads, kind="stable")
             same = heads[order][1:] == heads[order][:-1]
             keep = np.zeros(len(heads), bool)
@@ -532,17 +534,18 @@ def _with_side(blocks: DataFrame, *sides: tuple[int, DataFrame]) -> DataFrame:
 
 def _plan(docs: DataFrame, id_col: str, text_col: str, hot: int) -> tuple[DataFrame, int]:
     spark = docs.sparkSession
-    n = parts(spark)
+    tasks = parts(spark)
+    n = SLICES * tasks  # ranges of heads; a task judges its ranges one after the other
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     blocks = written(source.mapInArrow(_to_blocks, BLOCK_SCHEMA), "suffix-blocks")
     kind = "range int, block long, body binary"
     lists = blocks.mapInArrow(_list_heads(n), kind)
-    status = written(lists.repartition(n, "range").mapInArrow(_judge_heads(hot), kind + ", crowded boolean"), "suffix-status")
+    status = written(lists.repartition(tasks, "range").mapInArrow(_judge_heads(hot), kind + ", crowded boolean"), "suffix-status")
     # Splitters need only be roughly even; they come from eight blocks.
     heads = sorted(r["head"] for r in blocks.orderBy(F.hash("block")).limit(8).mapInArrow(_sample_heads, "head binary").collect())
-    splitters = sorted({bytes(heads[k * len(heads) // n]) for k in range(1, n)}) if heads else []
+    splitters = sorted({bytes(heads[k * len(heads) // tasks]) for k in range(1, tasks)}) if heads else []
     judged = _with_side(blocks, (0, status))
-    found = written(judged.mapInArrow(_cut_runs(n, splitters), kind).repartition(n, "range").mapInArrow(_merge_runs, kind), "suffix-reaches")
+    found = written(judged.mapInArrow(_cut_runs(n, splitters), kind).repartition(tasks, "range").mapInArrow(_merge_runs, kind), "suffix-reaches")
     crowded = status.where("crowded").select("block").distinct()
     if crowded.isEmpty():
         return _with_side(blocks, (0, status), (1, found)), n
