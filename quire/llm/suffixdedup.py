@@ -542,7 +542,8 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, hot: int) -> tuple[DataFr
     lists = blocks.mapInArrow(_list_heads(n), kind)
     status = written(lists.repartition(tasks, "range").mapInArrow(_judge_heads(hot), kind + ", crowded boolean"), "suffix-status")
     # Splitters need only be roughly even; they come from eight blocks.
-    heads = sorted(r["head"] for r in blocks.orderBy(F.hash("block")).limit(8).mapInArrow(_sample_heads, "head binary").collect())
+    some = [r.block for r in blocks.select("block").orderBy(F.hash("block")).limit(8).collect()]  # numbers alone, not bodies
+    heads = sorted(r["head"] for r in blocks.where(F.col("block").isin(some)).mapInArrow(_sample_heads, "head binary").collect())
     splitters = sorted({bytes(heads[k * len(heads) // tasks]) for k in range(1, tasks)}) if heads else []
     judged = _with_side(blocks, (0, status))
     found = written(judged.mapInArrow(_cut_runs(n, splitters), kind).repartition(tasks, "range").mapInArrow(_merge_runs, kind), "suffix-reaches")
