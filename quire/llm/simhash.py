@@ -27,19 +27,25 @@ from .store import parts, written
 SEED, BITS, BYTES = 42, 64, 8
 
 
-def fingerprint(text: bytes, width: int = 3) -> int:
-    """Majority bits of the XXH64 values of all shingles of `width` words; 0 without words."""
+def shingle_hashes(text: bytes, width: int) -> list[int]:
+    """XXH64 values of all shingles of `width` words, in order; of the whole text if it has fewer; none without words."""
     words = text.lower().split()  # bytes: A-Z only, and the white space of ASCII
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     if len(words) <= width:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = [0, *(ends[: len(words) - width] + 1).tolist()]
-        h, seed = xxhash.xxh64_intdigest, SEED
-        hashes = [h(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)]
+        return [xxhash.xxh64_intdigest(joined, SEED)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = [0, *(ends[: len(words) - width] + 1).tolist()]
+    h, seed = xxhash.xxh64_intdigest, SEED
+    return [h(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: bytes, width: int = 3) -> int:
+    """Majority bits of the XXH64 values of all shingles of `width` words; 0 without words."""
+    hashes = shingle_hashes(text, width)
+    if not hashes:
+        return 0
     n, ones = len(hashes), np.zeros(BITS, np.int64)
     flat = np.array(hashes, "<u8").view(np.uint8).reshape(-1, BYTES)
     for k in range(0, n, 1 << 16):
@@ -171,7 +177,11 @@ def drop_near_duplicates(docs: DataFrame, width: int = 3, most: int = 2) -> Data
     """The rows of docs, all columns, without near-duplicates: of each component the row with the smallest doc_id stays (a null id comes
     last, ties go to the least hash of the text), once if it is repeated."""
     marked = written(fingerprints(docs, width=width), "simhash")
-    labelled = written(marked.join(_classes(marked, most), "fp").select("doc_id", "text_key", "component"), "simhash-labels")
+    return keep_first(docs, written(marked.join(_classes(marked, most), "fp").select("doc_id", "text_key", "component"), "simhash-labels"))
+
+
+def keep_first(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The rows of docs without all but one of each component; labelled has doc_id, text_key and component of every row."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
     least = written(labelled.groupBy("component").agg(first.alias("r")).select("component", F.col("r.doc_id").alias("keep_id"), F.col("r.text_key").alias("keep_key")), "simhash-least")
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("text_key").eqNullSafe(F.col("keep_key"))
