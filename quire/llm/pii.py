@@ -1,13 +1,13 @@
 """Personal data: patterns for four kinds, and terms that give protected entities away.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers. An entity is a distinct value of
-these. Terms are words near a mention of an entity. The corpus tells how much of an entity's
-information a term carries: with N documents, df(e), df(t) and df(e, t) of them holding the entity, the
-term, and both near each other, PMI = log(df(e,t) N / (df(e) df(t))) of the information content log(N / df(e)) is
-disclosed. A term that discloses at least DISCLOSURE of it, on the evidence of at least
-SUPPORT different surroundings (so copies of one text are no evidence), is generalised where a broader
-word fits and removed elsewhere, in the surroundings of that entity's mentions. Documents without a
-mention are never changed.
+these. Terms are all words outside mentions, of any length and anywhere in a document with a mention. The corpus
+tells how much of an entity's information a term carries: with N different texts, df(e), df(t) and df(e, t)
+of them holding the entity, the term, and both, PMI = log(df(e,t) N / (df(e) df(t))) of the information content
+log(N / df(e)) is disclosed. No pair is left out. Where df(e, t) is under SUPPORT, PMI is smoothed: one more text with only the
+entity and one with only the term are supposed (df + 1). Copies of one text are no evidence, so they count
+once. A term that discloses at least DISCLOSURE is generalised where a broader word fits and removed
+elsewhere, in every document that mentions the entity. Documents without a mention are never changed.
 """
 
 from __future__ import annotations
@@ -16,17 +16,17 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
 
 KINDS = ("email", "ip", "card", "phone")
-DISCLOSURE, SUPPORT, WINDOW, SHORTEST = 0.8, 3, 8, 4
-#: Terms looked up in one pass over the documents; more terms take more passes.
+DISCLOSURE, SUPPORT = 0.8, 3
+#: Terms that a task counts before it passes the counts on.
 BLOCK = 200_000
 
 # Fixed patterns. Possessive repeats and look-behinds keep them linear without changing the matches.
@@ -86,34 +86,19 @@ def entity(kind: int, value: str) -> str:
     return f"{KINDS[kind]}:{value.lower() if kind < 2 else ''.join(_DIGIT.findall(value))}"
 
 
-def surroundings(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
-    """For each mention, its entity and the words (term, start, end) within WINDOW words on either side, outside all mentions."""
+def words_outside(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """The words (term, start, end) of a text that touch no mention."""
     taken = sorted((a, b) for _, a, b in spans)
-    starts = [a for a, _ in taken]
-
-    def free(a: int, b: int) -> bool:
-        k = bisect_left(starts, b) - 1
-        return k < 0 or taken[k][1] <= a or all(y <= a for x, y in taken[max(0, k - 3) : k + 1])
-
-    for kind, a, b in spans:
-        words: list[tuple[str, int, int]] = []
-        near = _WORD.finditer(text, b)
-        for _, m in zip(range(WINDOW), near, strict=False):
-            words.append((m[0].lower(), m.start(), m.end()))
-        low, reach = a, []
-        while low > 0 and len(reach) < WINDOW + 1 and a - low < 4096:  # widen until enough words lie before
-            low = max(0, low - 128 if a - low < 1024 else low - 1024)
-            reach = list(_WORD.finditer(text, low, a))
-        words += [(m[0].lower(), m.start(), m.end()) for m in reach[-WINDOW:]]
-        yield entity(kind, text[a:b]), [w for w in words if len(w[0]) >= SHORTEST and free(w[1], w[2])]
+    starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+    for m in _WORD.finditer(text):
+        k = bisect_left(starts, m.end()) - 1
+        if k < 0 or ends[k] <= m.start():
+            yield m[0].lower(), m.start(), m.end()
 
 
 def added_spans(text: str, spans: list[tuple[int, int, int]], revealing: dict[str, set[str]]) -> list[tuple[int, int]]:
-    out = set()
-    for e, words in surroundings(text, spans):
-        if e in revealing:
-            out.update((a, b) for t, a, b in words if t in revealing[e])
-    return sorted(out)
+    told = set().union(*(revealing.get(entity(k, text[a:b]), ()) for k, a, b in spans))
+    return [(a, b) for t, a, b in words_outside(text, spans) if t in told] if told else []
 
 
 def sanitise(text: str, base: list[tuple[int, int, int]], added: list[tuple[int, int]]) -> str:
@@ -129,36 +114,31 @@ def sanitise(text: str, base: list[tuple[int, int, int]], added: list[tuple[int,
     return "".join([*out, text[at:]])
 
 
-def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, place (of the text), entity, term, ground (hash of the surroundings) of every term near a mention; a row without term for every mention."""
-    schema = pa.schema([("doc_id", pa.int64()), ("doc_key", pa.int64()), ("entity", pa.string()), ("term", pa.string()), ("ground", pa.int64())])
-    for b in batches:
-        rows: list[tuple] = []
-        for doc, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            spans = base_spans(text)
-            if not spans:
-                continue
-            key = xxhash.xxh64_intdigest(f"{doc}:{text}") - (1 << 63)
-            for e, words in surroundings(text, spans):
-                ground = xxhash.xxh64_intdigest(" ".join(w for w, _, _ in words)) - (1 << 63)
-                rows.append((doc, key, e, None, ground))
-                rows += [(doc, key, e, w, ground) for w in {w for w, _, _ in words}]
-        for k in range(0, len(rows), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows[k : k + 20_000], strict=True), schema, strict=True)], schema=schema)
-
-
-def _term_documents(docs: DataFrame, terms: list[str]) -> DataFrame:
-    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(terms))  # BLOCK terms at most
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of two kinds: term and n, in how many texts it is (a text with c copies counts 1/c at each); and for every text with a
+    mention doc_id, text_key, copies, entities and terms."""
+    schema = pa.schema([("term", pa.string()), ("n", pa.float64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("copies", pa.int64()), ("entities", pa.list_(pa.string())), ("terms", pa.list_(pa.string()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, int] = {}
-        for b in batches:
-            for text in b.column(1).to_pylist():
-                for t in wanted.value.intersection(_WORD.findall(text.lower())):
-                    counts[t] = counts.get(t, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+    def counted() -> Iterator[pa.RecordBatch]:
+        names, n = list(counts), len(counts)
+        for k in range(0, n, 20_000):
+            here = names[k : k + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array(here, pa.string()), pa.array([counts[t] for t in here], pa.float64()), *(pa.nulls(len(here), f.type) for f in list(schema)[2:])], schema=schema)
 
-    return docs.mapInArrow(run, "term string, n long")
+    counts: dict[str, float] = {}
+    for b in batches:
+        for doc, text, key, copies in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            spans = base_spans(text)
+            terms = {t for t, _, _ in words_outside(text, spans)} if spans else {t.lower() for t in set(_WORD.findall(text))}
+            for t in terms:
+                counts[t] = counts.get(t, 0.0) + 1 / copies
+            if spans:
+                row = (None, None, doc, key, copies, sorted({entity(k, text[x:y]) for k, x, y in spans}), sorted(terms))
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
+            if len(counts) > BLOCK:
+                yield from counted()
+                counts.clear()
+    yield from counted()
 
 
 def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -168,34 +148,34 @@ def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def revealing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, reveals: the entities of each document with the terms that give them away; only documents that have such.
 
-    All counts cover all documents. Rows with a null doc_id count as evidence but get no row here.
+    All counts cover all different texts. Rows with a null doc_id count as evidence but get no row here.
     """
-    plain = _plain(docs, id_col, text_col)
-    seen = written(plain.mapInArrow(_mentions, "doc_id long, doc_key long, entity string, term string, ground long"), "pii-mentions")
-    near = seen.where("term is not null").groupBy("entity", "term").agg(F.countDistinct("ground").alias("grounds"), F.countDistinct("doc_key").alias("both"))
-    near = written(near.where(F.col("grounds") >= SUPPORT), "pii-pairs")
-    terms = written(near.select("term").distinct().withColumn("block", F.pmod(F.xxhash64("term"), F.lit(1 << 20))), "pii-terms")
-    n = terms.count()
-    total = docs.count()
-    found = None
-    blocks = -(-n // (BLOCK // 2)) if n else 0
-    for k in range(blocks):
-        part = [r.term for r in terms.where(F.col("block") % blocks == k).select("term").limit(BLOCK + 1).collect()]
-        if len(part) > BLOCK:
-            raise RuntimeError("a block of terms is larger than its bound")
-        here = _term_documents(plain, part)
-        found = here if found is None else found.union(here)
-    spark = docs.sparkSession
-    if found is None:
-        return spark.createDataFrame([], "doc_id long, reveals array<struct<entity:string,term:string>>")
-    df_term = written(found.groupBy("term").agg(F.sum("n").alias("df_t")), "pii-term-documents")
-    df_entity = written(seen.where("term is null").groupBy("entity").agg(F.countDistinct("doc_key").alias("df_e")), "pii-entity-documents")
-    scored = near.join(df_term, "term").join(df_entity, "entity")
-    pmi = F.ln(F.col("both") * F.lit(float(total)) / (F.col("df_e") * F.col("df_t")))
-    share = F.when(F.col("df_e") < total, pmi / F.ln(F.lit(float(total)) / F.col("df_e")))
-    telling = written(scored.where(share >= DISCLOSURE).select("entity", "term"), "pii-telling")
-    mentioned = written(seen.where("term is not null and doc_id is not null").select("doc_id", "entity", "term").distinct(), "pii-near")
-    return written(mentioned.join(telling, ["entity", "term"]).groupBy("doc_id").agg(F.collect_list(F.struct("entity", "term")).alias("reveals")), "pii-reveals")
+    plain = _plain(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
+    keys = written(plain.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies")), "pii-texts")
+    total = keys.count()
+    repeated = written(keys.where("copies > 1").select(F.col("text_key").alias("key"), F.col("copies").alias("c")), "pii-repeated")  # small or not, as reveals
+    marked = plain.join(repeated, F.col("text_key") == F.col("key"), "left").select("doc_id", "text", "text_key", F.coalesce("c", F.lit(1)).alias("copies"))
+    seen = written(marked.mapInArrow(_counts, "term string, n double, doc_id long, text_key long, copies long, entities array<string>, terms array<string>"), "pii-counts")
+    df_term = written(seen.where("term is not null").groupBy("term").agg(F.round(F.sum("n")).alias("df_t")), "pii-term-texts")
+    texts = seen.where("text_key is not null")
+    once = texts.where("copies = 1").unionByName(texts.where("copies > 1").dropDuplicates(["text_key"]))
+    df_entity = written(once.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("df_e")), "pii-entity-texts")
+    known = once.select("text_key", F.explode("entities").alias("entity")).join(df_entity, "entity")
+    # Both are in as many texts as the rarer one at most: pairs that cannot disclose enough even then go before they are counted.
+    words = once.select("text_key", F.explode("terms").alias("term")).join(df_term, "term")
+
+    def telling(both):
+        plain_, one_more = ((F.col("df_e") + k) * (F.col("df_t") + k) for k in (0, 1))
+        pmi = F.ln(both * F.lit(float(total)) / F.when(both >= SUPPORT, plain_).otherwise(one_more))
+        return (F.col("df_e") < total) & (pmi / F.ln(F.lit(float(total)) / F.col("df_e")) >= DISCLOSURE)
+
+    pairs = known.join(words, "text_key").where(telling(F.least("df_e", "df_t")))
+    counted = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.first("df_e").alias("df_e"), F.first("df_t").alias("df_t"))
+    told = written(counted.where(telling(F.col("both"))).select("entity", "term"), "pii-telling")
+    mentioned = texts.where("doc_id is not null")
+    asked = mentioned.select("doc_id", F.explode("entities").alias("entity")).distinct().join(told, "entity")
+    held = mentioned.select("doc_id", F.explode("terms").alias("term")).distinct()
+    return written(asked.join(held, ["doc_id", "term"]).groupBy("doc_id").agg(F.collect_list(F.struct("entity", "term")).alias("reveals")), "pii-reveals")
 
 
 def _revealing(reveals: list | None) -> dict[str, set[str]]:
