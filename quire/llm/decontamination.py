@@ -1,7 +1,8 @@
 """Benchmark decontamination: short test items inside long documents.
 
-Items are partitioned by size (number of distinct shingles, in powers of two). The MinHash sketch of an item holds the
-least hash values of its shingles, as many as its partition's largest size u needs: floor((1 - t) u) + 1.
+Items are partitioned by size (number of distinct shingles, in powers of two). Rows that
+repeat an item_id are items of their own here. The MinHash sketch of an item holds the least hash values of its
+shingles, as many as its partition's largest size u needs: floor((1 - t) u) + 1.
 A document that holds at least the share t of an item's shingles lacks fewer than that, so it holds
 one of the sketch: no document is missed. The search joins document shingles with the sketches by hash value;
 each candidate is verified by the exact share of the item's shingles that the document holds.
@@ -27,17 +28,18 @@ def _hash(row: str, width: int):
 
 
 def sketches(items: DataFrame, width: int, containment: float) -> DataFrame:
-    """item_id, h, the least hash values of every item; smaller items have fewer."""
-    hashed = items.select("item_id", F.explode(shingle_rows(words(F.col("text")), width)).alias("s")).select("item_id", _hash("s", width).alias("h")).distinct()
-    by_item = Window.partitionBy("item_id")
+    """item_id, h, the least hash values of every different row of items; smaller rows have fewer."""
+    rows = items.select("item_id", F.xxhash64("text").alias("row"), F.explode(shingle_rows(words(F.col("text")), width)).alias("s"))
+    hashed = rows.select("item_id", "row", _hash("s", width).alias("h")).distinct()
+    by_item = Window.partitionBy("item_id", "row")
     ranked = hashed.withColumns({"n": F.count(F.lit(1)).over(by_item), "rank": F.row_number().over(by_item.orderBy("h"))})
     largest = F.pow(F.lit(2.0), F.floor(F.log2(F.col("n"))) + 1) - 1  # of the size partition
-    return ranked.where(F.col("rank") <= F.floor(largest * (1 - containment) + 1e-9) + 1).select("item_id", "h")
+    return ranked.where(F.col("rank") <= F.floor(largest * (1 - containment) + 1e-9) + 1).select("item_id", "h").distinct()
 
 
 def candidates(docs: DataFrame, items: DataFrame, width: int, containment: float) -> DataFrame:
     """doc_id, item_id of pairs that share a sketch value."""
-    sketch = written(sketches(items, width, containment).withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(1 << 20))), "leak-sketches")
+    sketch = written(sketches(items, width, containment).withColumn("part", F.pmod(F.xxhash64("item_id", "h"), F.lit(1 << 20))), "leak-sketches")
     blocks = max(1, -(-2 * sketch.count() // BLOCK))
     shingles = docs.select("doc_id", F.explode(shingle_rows(words(F.col("text")), width)).alias("s")).select("doc_id", _hash("s", width).alias("h"))
     found = None
