@@ -87,44 +87,65 @@ def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int,
         start += size
 
 
-def walk(data: memoryview, start: int, end: int, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    for kind, a, b in boxes(data, start, end):
-        yield (*path, kind), a, b
+def walk(data: memoryview, start: int, end: int) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+    """(path, start and end of the body) of all boxes, parents first, however deep they are nested."""
+    open_ = [((), boxes(data, start, end))]
+    while open_:
+        path, rest = open_[-1]
+        found = next(rest, None)
+        if found is None:
+            open_.pop()
+            continue
+        kind, a, b = found
+        yield (*path[:3], kind), a, b  # deeper levels are told by their last kinds alone
         if kind in CONTAINERS:
-            yield from walk(data, a, b, (*path, kind))
+            open_.append(((*path[:3], kind), boxes(data, a, b)))
 
 
 def _u32(data: memoryview, at: int, n: int, wide: bool = False) -> np.ndarray:
     return np.frombuffer(data, ">u8" if wide else ">u4", n, at).astype(np.int64)
 
 
+def _entries(data: memoryview, at: int, end: int, width: int, wide: bool = False) -> np.ndarray:
+    """The numbers of a table of entries of `width` bytes, whose count must fit its box."""
+    if end - at < 8:
+        raise ValueError("truncated table")
+    n = struct.unpack_from(">I", data, at + 4)[0]
+    if n > (end - at - 8) // width:
+        raise ValueError("a table counts more entries than its box holds")
+    return _u32(data, at + 8, n if wide else n * width // 4, wide)
+
+
 def _track(data: memoryview, found: dict[bytes, tuple[int, int]]) -> dict:
     """Decodes one track's tables into sample offsets and sizes."""
     at = found[b"mdhd"][0]
     timescale, = struct.unpack_from(">I", data, at + (20 if data[at] else 12))
     duration, = struct.unpack_from(">Q" if data[at] else ">I", data, at + (24 if data[at] else 16))
     codec = bytes(data[found[b"stsd"][0] + 12 : found[b"stsd"][0] + 16]).decode("latin-1")
-    at = found[b"stsz"][0]
+    table = lambda kind, width: _entries(data, *found[kind], width, kind == b"co64")
+    at, end = found[b"stsz"]
+    if end - at < 12:
+        raise ValueError("truncated sample sizes")
     size, n = struct.unpack_from(">II", data, at + 4)
+    if n > (len(data) // size if size else (end - at - 12) // 4):
+        raise ValueError("more samples than the file can hold")
     sizes = np.full(n, size, np.int64) if size else _u32(data, at + 12, n)
-    wide = b"co64" in found
-    at = found[b"co64" if wide else b"stco"][0]
-    offsets = _u32(data, at + 8, struct.unpack_from(">I", data, at + 4)[0], wide)
-    at = found[b"stsc"][0]
-    runs = _u32(data, at + 8, 3 * struct.unpack_from(">I", data, at + 4)[0]).reshape(-1, 3)
-    per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(offsets) + 1)))
-    if per.sum() != n:
+    offsets = table(b"co64", 8) if b"co64" in found else table(b"stco", 4)
+    runs = table(b"stsc", 12).reshape(-1, 3)
+    chunks = np.diff(np.append(runs[:, 0], len(offsets) + 1))
+    if len(offsets) and (not len(runs) or runs[0, 0] != 1) or (chunks < 0).any() or int((runs[:, 1] * chunks).sum()) != n:
         raise ValueError("sample tables disagree")
+    per = np.repeat(runs[:, 1], chunks)
     chunk = np.repeat(np.arange(len(offsets)), per)
     before = np.cumsum(sizes) - sizes
     first = np.cumsum(per) - per
     starts = offsets[chunk] + before - before[np.minimum(first, n - 1)][chunk] if n else sizes
-    keys = np.arange(n)
-    if b"stss" in found:
-        at = found[b"stss"][0]
-        keys = _u32(data, at + 8, struct.unpack_from(">I", data, at + 4)[0]) - 1
-    at = found[b"stts"][0]
-    times = _u32(data, at + 8, 2 * struct.unpack_from(">I", data, at + 4)[0]).reshape(-1, 2)
+    if n and (starts.min() < 0 or (starts + sizes).max() > len(data)):
+        raise ValueError("samples outside the file")
+    keys = table(b"stss", 4) - 1 if b"stss" in found else np.arange(n)
+    if len(keys) and (keys.min() < 0 or keys.max() >= n):
+        raise ValueError("sync samples that are not there")
+    times = table(b"stts", 8).reshape(-1, 2)
     return {"codec": codec, "timescale": timescale, "duration": duration, "ticks": int((times[:, 0] * times[:, 1]).sum()), "starts": starts, "sizes": sizes, "keys": keys}
 
 
@@ -134,7 +155,7 @@ def inspect(content: bytes) -> list[dict]:
     for path, a, b in walk(data, 0, len(data)):
         if path == (b"moov", b"trak"):
             tracks.append({})
-        elif len(path) > 2 and path[1] == b"trak":
+        elif len(path) > 2 and path[:2] == (b"moov", b"trak"):
             tracks[-1].setdefault(path[-1], (a, b))
     return [_track(data, t) for t in tracks]
 
