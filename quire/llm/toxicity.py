@@ -1,6 +1,7 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick over folded text.
 
-Folding maps homoglyphs and, in words that have letters, digit substitutions to Latin letters. Hits
+Folding takes compatibility forms (full-width and mathematical letters and the like) to plain ones, drops invisible characters and
+loose combining marks, and maps homoglyphs and, in words that have letters, digit substitutions to Latin letters. Hits
 count at word starts; a hit inside an exception phrase does not count. The weighted sum of the hits,
 and the same divided by the length in words, go through a logistic function.
 
@@ -13,9 +14,14 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from heapq import heapify, heappop, heappush
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -25,21 +31,30 @@ from pyspark.sql import functions as F
 from .store import written
 
 # Look-alike letters, digits and signs used for letters, the base lexicon with prior weights, exception phrases.
-HOMOGLYPHS = str.maketrans("аеорсухіјѕԁһкмтвнαοερτυιкνхɡℓ", "aeopcyxijsdhkmtbhaoeptuikvxgl")
+LOOKALIKES = {
+    "a": "аαɑᴀ", "b": "ьЬʙƅ", "c": "сϲᴄ", "d": "ԁđᴅɗ", "e": "еεєɛᴇ", "f": "ƒꜰ", "g": "ɡɢցğ", "h": "һнħʜհ", "i": "іιıɩɪї", "j": "јյᴊ", "k": "кκᴋқ",
+    "l": "ℓłʟӏ", "m": "мᴍ", "n": "ηпɴող", "o": "оοσօᴏøө", "p": "рρᴘ", "q": "ԛգ", "r": "гʀᴦ", "s": "ѕꜱ", "t": "тτŧᴛ", "u": "υսᴜц", "v": "νѵᴠ", "w": "ԝωᴡш", "x": "хχ", "y": "уγʏү", "z": "ᴢƶ",
+}
 SUBSTITUTES = str.maketrans("0134578@$!|", "oieastbasil")
 LEXICON = {"idiot": 3.0, "moron": 3.0, "stupid": 2.0, "pathetic": 2.0, "worthless": 2.5, "scum": 3.0, "trash": 1.5, "loser": 2.0, "disgusting": 2.0, "clown": 1.5, "imbecile": 3.0, "bastard": 2.5, "retard": 3.0, "vermin": 2.5}
 EXCEPTIONS = ("trash can", "trash bin", "trash collection", "clown fish", "circus clown", "sore loser", "clown school")
-#: Sample of each label; lengths of word beginnings; least documents, least share of toxic ones and most candidates for a term; covers wanted of a toxic document.
-SAMPLE, PREFIXES, LEAST_DOCS, LEAST_SHARE, MOST_TERMS, COVERS = 4000, range(3, 9), 5, 0.9, 20_000, 2
+#: Sample of each label; lengths of word beginnings; least documents and least share of toxic ones for a term; covers wanted of a toxic document.
+SAMPLE, PREFIXES, LEAST_DOCS, LEAST_SHARE, COVERS = 4000, range(3, 9), 5, 0.9, 2
 THRESHOLD = 0.3
 
+HOMOGLYPHS = str.maketrans({c: latin for latin, those in LOOKALIKES.items() for c in those})
+#: Invisible characters (soft hyphen, joiners, direction marks, selectors) and the marks that are put over letters one by one.
+UNSEEN = dict.fromkeys([0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0xFEFF, *range(0xFE00, 0xFE10), *range(0x300, 0x370)])
+
 _WORD = re.compile(r"[^\W_]+")
-_ODD = re.compile(r"[^\W_]*[0134578@$!|а-џα-ωɡℓԁһ][^\s.,;:?\"()]*")
+_ODD = re.compile(rf"(?<![^\W_])[^\W_]*[0134578@$!|{''.join(LOOKALIKES.values())}][^\s.,;:?\"()]*")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
 def fold(text: str) -> str:
-    """Lower case, look-alike letters as Latin ones, and digits and signs as letters within words that have letters."""
+    """Lower case, plain forms, look-alike letters as Latin ones, and digits and signs as letters within words that have letters."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text).translate(UNSEEN)
 
     def one(m: re.Match) -> str:
         word = m[0].translate(HOMOGLYPHS)
@@ -63,6 +78,14 @@ class Model:
     weights: dict[str, float]  # a whole word ends in a space
     coefficients: tuple[float, float, float]  # constant, log of the sum, log of the sum per 1,000 words
 
+    @cached_property
+    def matcher(self) -> Matcher:
+        """Built once in a worker process: a broadcast model is one object there."""
+        return Matcher(self.weights)
+
+    def __getstate__(self) -> dict:
+        return {"weights": self.weights, "coefficients": self.coefficients}
+
     def score(self, total: float, words: int) -> float:
         z = sum(c * x for c, x in zip(self.coefficients, features(total, words), strict=True))
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
@@ -103,7 +126,11 @@ class Matcher:
                     best[start] = max(w, best.get(start, 0.0))
                 else:
                     safe.append((start, end))
-        return sum(w for at, w in best.items() if not any(a <= at <= b for a, b in safe))
+        if not safe:
+            return sum(best.values())
+        safe.sort()
+        reach = list(accumulate((b for _, b in safe), max))  # how far the phrases up to each reach
+        return sum(w for at, w in best.items() if not ((k := bisect_right(safe, (at, len(folded)))) and reach[k - 1] >= at))
 
 
 def _text(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
@@ -146,17 +173,26 @@ def choose_terms(covered: dict[str, set[int]], docs: int, cost: dict[str, float]
     out. Among equals the longest term, which is the most exact, wins.
     """
     need = dict.fromkeys((d for s in covered.values() for d in s), COVERS)
-    least, chosen, left = max(LEAST_DOCS, docs // 200), [], dict(covered)
-    while left:
-        gains = {t: sum(need[d] > 0 for d in s) - cost[t] for t, s in left.items()}
-        term = max(gains, key=lambda t: (gains[t], len(t), t))
-        if gains[term] < least:
-            break
+    least, chosen, stems = max(LEAST_DOCS, docs // 200), [], set()
+    gain = lambda t: sum(need[d] > 0 for d in covered[t]) - cost[t]
+    order = sorted(covered, key=lambda t: (len(t), t), reverse=True)
+    queue = [(-gain(t), k, t) for k, t in enumerate(order)]
+    heapify(queue)
+    while queue:
+        _, k, term = heappop(queue)
+        stem = term.rstrip(" ")
+        if any(stem[:n] in stems for n in range(1, len(stem) + 1)) or any(s.startswith(stem) for s in stems):
+            continue  # a longer or shorter form of what is chosen adds nothing
+        now = gain(term)
+        if now < least:
+            continue  # gains only shrink
+        if queue and (-now, k) > queue[0][:2]:
+            heappush(queue, (-now, k, term))
+            continue
         chosen.append(term)
-        for d in left.pop(term):
+        stems.add(stem)
+        for d in covered[term]:
             need[d] -= 1
-        stem = term.rstrip(" ")  # a longer or shorter form of what is chosen adds nothing
-        left = {t: s for t, s in left.items() if gains[t] >= least and not (t.startswith(stem) or stem.startswith(t.rstrip(" ")))}
     return chosen
 
 
@@ -186,7 +222,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     counts = rows.mapInArrow(_count_terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     rate = F.col("toxic") / toxic
     good = (F.col("toxic") >= LEAST_DOCS) & (rate / (rate + F.col("clean") / clean) >= LEAST_SHARE)
-    listed = {r.term: (r.clean, r.toxic) for r in counts.where(good | F.col("term").isin(*base)).orderBy(F.desc("toxic"), "term").limit(MOST_TERMS).collect()}
+    listed = {r.term: (r.clean, r.toxic) for r in counts.where(good | F.col("term").isin(*base)).collect()}  # terms of LEAST_DOCS sampled texts or more
     usable = {t for t, (c, n) in listed.items() if n >= LEAST_DOCS}
 
     def incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,17 +257,16 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, hits (weighted sum) of every row.
 
-    A null text counts as empty; an empty text gets the score of a text without hits. Repeated rows
+    Long texts are scored whole, in linear time. A null text counts as empty; an empty text gets the score of a text without hits. Repeated rows
     each give a row; other columns are ignored; an empty table gives none.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        matcher = Matcher(m.weights)
         for b in batches:
             texts = b.column(1).to_pylist()
-            totals = [matcher.total(fold(t)) for t in texts]
+            totals = [m.matcher.total(fold(t)) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.score(s, len(t.split())) for s, t in zip(totals, texts, strict=True)], pa.float64()), pa.array(totals, pa.float64())], names=["doc_id", "score", "hits"])
 
     return _text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, hits double")
@@ -244,14 +279,17 @@ def score_corpus(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose score is below the threshold."""
+    """The rows of docs, all columns, whose score is below the threshold.
+
+    Null and empty texts have no hits and stay; long texts are scored whole, in linear time; rows that repeat a text share its fate;
+    ids play no part; columns of any other name stay as they are; an empty table gives an empty one.
+    """
     model = learn(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
     def rate(text: pa.Array) -> pa.Array:
         m = sent.value
-        matcher = Matcher(m.weights)
-        return pa.array([m.score(matcher.total(fold(t or "")), len((t or "").split())) for t in text.to_pylist()], pa.float64())
+        return pa.array([m.score(m.matcher.total(fold(t or "")), len((t or "").split())) for t in text.to_pylist()], pa.float64())
 
     return docs.where(rate(F.col("text").cast("string")) < THRESHOLD)
