@@ -6,8 +6,8 @@ tells how much of an entity's information a term carries: with N different texts
 of them holding the entity, the term, and both, PMI = log(df(e,t) N / (df(e) df(t))) of the information content
 log(N / df(e)) is disclosed. No pair is left out. Where df(e, t) is under SUPPORT, PMI is smoothed: one more text with only the
 entity and one with only the term are supposed (df + 1). Copies of one text are no evidence, so they count
-once. A term that discloses at least DISCLOSURE is generalised where a broader word fits and removed
-elsewhere, in every document that mentions the entity. Documents without a mention are never changed.
+once; texts are told apart by a 64-bit hash. A term that discloses at least DISCLOSURE is generalised where a broader word
+fits and removed elsewhere, in every document that mentions the entity. Documents without a mention are never changed.
 """
 
 from __future__ import annotations
@@ -18,16 +18,19 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
-from .store import written
+from .store import unused, written
 
 KINDS = ("email", "ip", "card", "phone")
 DISCLOSURE, SUPPORT = 0.8, 3
-#: Terms that a task counts before it passes the counts on.
-BLOCK = 200_000
+#: Terms that a task counts before it passes the counts on; most frequent terms whose counts are broadcast; bits that mark
+#: repeated texts (4 MB; more repeated texts set more bits and send more texts through the shuffle, with the same result), and bits to a row of them.
+BLOCK, FREQUENT, BITS, SLICE = 200_000, 50_000, 1 << 25, 1 << 15
 
 # Fixed patterns. Possessive repeats and look-behinds keep them linear without changing the matches.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -72,7 +75,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind number, start, end) in code points, by kind and start."""
     found = [(0, a, b) for a, b in emails(text)] if "@" in text else []
     if _DIGIT.search(text):
-        found += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        found += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(d := p.lstrip("0")) <= 3 and int(d or 0) <= 255 for p in m[0].split("."))]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 13 and 13 <= len(d := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(d):
                 found.append((2, m.start(), m.end()))
@@ -114,68 +117,115 @@ def sanitise(text: str, base: list[tuple[int, int, int]], added: list[tuple[int,
     return "".join([*out, text[at:]])
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of two kinds: term and n, in how many texts it is (a text with c copies counts 1/c at each); and for every text with a
-    mention doc_id, text_key, copies, entities and terms."""
-    schema = pa.schema([("term", pa.string()), ("n", pa.float64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("copies", pa.int64()), ("entities", pa.list_(pa.string())), ("terms", pa.list_(pa.string()))])
+SEEN = "term string, n long, text_key long, entities array<string>, terms array<string>, text string"
 
-    def counted() -> Iterator[pa.RecordBatch]:
-        names, n = list(counts), len(counts)
-        for k in range(0, n, 20_000):
-            here = names[k : k + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array(here, pa.string()), pa.array([counts[t] for t in here], pa.float64()), *(pa.nulls(len(here), f.type) for f in list(schema)[2:])], schema=schema)
 
-    counts: dict[str, float] = {}
-    for b in batches:
-        for doc, text, key, copies in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            spans = base_spans(text)
-            terms = {t for t, _, _ in words_outside(text, spans)} if spans else {t.lower() for t in set(_WORD.findall(text))}
-            for t in terms:
-                counts[t] = counts.get(t, 0.0) + 1 / copies
-            if spans:
-                row = (None, None, doc, key, copies, sorted({entity(k, text[x:y]) for k, x, y in spans}), sorted(terms))
-                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
-            if len(counts) > BLOCK:
-                yield from counted()
-                counts.clear()
-    yield from counted()
+def _counts(repeated: np.ndarray | None):
+    """Rows of three kinds: term and n, the number of texts that hold it; text_key, entities and terms of every text with a mention;
+    and text_key and text, once a task, of texts that may have copies, which are not counted yet."""
+    schema = pa.schema([("term", pa.string()), ("n", pa.int64()), ("text_key", pa.int64()), ("entities", pa.list_(pa.string())), ("terms", pa.list_(pa.string())), ("text", pa.string())])
+
+    def rows(**columns: list) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, int] = {}
+        sent: set[int] = set()
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            names = list(counts)
+            for k in range(0, len(names), 20_000):
+                here = names[k : k + 20_000]
+                yield rows(term=here, n=[counts[t] for t in here])
+
+        for b in batches:
+            found = [[], [], []]
+            for text, key in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if repeated is not None and repeated[key % BITS >> 3] >> (key % 8) & 1:
+                    if key not in sent:
+                        sent.add(key)
+                        yield rows(text_key=[key], text=[text])
+                    continue
+                spans = base_spans(text)
+                terms = {t for t, _, _ in words_outside(text, spans)} if spans else {t.lower() for t in set(_WORD.findall(text))}
+                for t in terms:
+                    counts[t] = counts.get(t, 0) + 1
+                if spans:
+                    for c, v in zip(found, (key, sorted({entity(k, text[x:y]) for k, x, y in spans}), sorted(terms)), strict=True):
+                        c.append(v)
+                if len(counts) > BLOCK:
+                    yield from counted()
+                    counts.clear()
+            if found[0]:
+                yield rows(text_key=found[0], entities=found[1], terms=found[2])
+        yield from counted()
+
+    return run
 
 
 def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
 
 
-def revealing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, reveals: the entities of each document with the terms that give them away; only documents that have such.
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """A bit for the remainder by BITS of every key: BITS / 8 bytes, however many keys there are."""
+    at = F.pmod("text_key", F.lit(BITS))
+    parts = keys.groupBy(F.floor(at / SLICE).alias("slice")).agg(F.bitmap_construct_agg(F.pmod(at, F.lit(SLICE))).alias("bits")).collect()
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in parts:
+        out[r.slice * SLICE // 8 :][: SLICE // 8] = np.frombuffer(r.bits, np.uint8)
+    return out
 
-    All counts cover all different texts. Rows with a null doc_id count as evidence but get no row here.
-    """
-    plain = _plain(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
+
+def _reveals_by_text(plain: DataFrame) -> DataFrame:
+    """text_key, reveals: the entities of each different text with its terms that give them away; only texts that have such."""
+    spark = plain.sparkSession
     keys = written(plain.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies")), "pii-texts")
     total = keys.count()
-    repeated = written(keys.where("copies > 1").select(F.col("text_key").alias("key"), F.col("copies").alias("c")), "pii-repeated")  # small or not, as reveals
-    marked = plain.join(repeated, F.col("text_key") == F.col("key"), "left").select("doc_id", "text", "text_key", F.coalesce("c", F.lit(1)).alias("copies"))
-    seen = written(marked.mapInArrow(_counts, "term string, n double, doc_id long, text_key long, copies long, entities array<string>, terms array<string>"), "pii-counts")
-    df_term = written(seen.where("term is not null").groupBy("term").agg(F.round(F.sum("n")).alias("df_t")), "pii-term-texts")
-    texts = seen.where("text_key is not null")
-    once = texts.where("copies = 1").unionByName(texts.where("copies > 1").dropDuplicates(["text_key"]))
-    df_entity = written(once.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("df_e")), "pii-entity-texts")
-    known = once.select("text_key", F.explode("entities").alias("entity")).join(df_entity, "entity")
-    # Both are in as many texts as the rarer one at most: pairs that cannot disclose enough even then go before they are counted.
-    words = once.select("text_key", F.explode("terms").alias("term")).join(df_term, "term")
+    # Copies are no evidence. The bits say which texts may have some; those, few unless the corpus is all copies, are made one before they are counted.
+    repeated = spark.sparkContext.broadcast(_bitmap(keys.where("copies > 1")))
+    texts = plain.select("text", "text_key")
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _counts(repeated.value)(batches)
+
+    once = written(texts.mapInArrow(first, SEEN), "pii-counts")
+    copied = once.where("text is not null").select("text", "text_key").dropDuplicates(["text_key"])
+    seen = once.where("text is null").unionByName(written(copied.mapInArrow(_counts(None), SEEN), "pii-copied"))
+    df_term = written(seen.where("term is not null").groupBy("term").agg(F.sum("n").alias("df_t")), "pii-term-texts")
+    held = seen.where("text_key is not null")
+    entities = held.select("text_key", F.explode("entities").alias("entity"))
+    df_entity = written(entities.groupBy("entity").agg(F.count(F.lit(1)).alias("df_e")), "pii-entity-texts")
+    known = entities.join(df_entity, "entity").groupBy("text_key").agg(F.collect_list(F.struct("entity", "df_e")).alias("es"))
+    full = written(held.select("text_key", "terms").join(known, "text_key"), "pii-held")
 
     def telling(both):
         plain_, one_more = ((F.col("df_e") + k) * (F.col("df_t") + k) for k in (0, 1))
         pmi = F.ln(both * F.lit(float(total)) / F.when(both >= SUPPORT, plain_).otherwise(one_more))
         return (F.col("df_e") < total) & (pmi / F.ln(F.lit(float(total)) / F.col("df_e")) >= DISCLOSURE)
 
-    pairs = known.join(words, "text_key").where(telling(F.least("df_e", "df_t")))
+    # Both are in as many texts as the rarer one at most: pairs that cannot disclose enough even then go before they are
+    # moved, at once for the most frequent terms, which are most of the words, after a join for the others.
+    top = written(df_term.orderBy(F.desc("df_t"), "term").limit(FREQUENT), "pii-frequent")  # FREQUENT rows at most
+    words = full.select("text_key", "es", F.explode("terms").alias("term")).join(F.broadcast(top), "term", "left")
+    each = lambda df, *more: df.select("text_key", "term", F.explode("es").alias("e"), *more).select("text_key", "term", "e.entity", "e.df_e", *more)
+    frequent = each(words.where("df_t is not null"), "df_t")
+    rare = each(words.where("df_t is null")).join(df_term, "term")
+    pairs = written(frequent.unionByName(rare).where(telling(F.least("df_e", "df_t"))), "pii-pairs")
     counted = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.first("df_e").alias("df_e"), F.first("df_t").alias("df_t"))
     told = written(counted.where(telling(F.col("both"))).select("entity", "term"), "pii-telling")
-    mentioned = texts.where("doc_id is not null")
-    asked = mentioned.select("doc_id", F.explode("entities").alias("entity")).distinct().join(told, "entity")
-    held = mentioned.select("doc_id", F.explode("terms").alias("term")).distinct()
-    return written(asked.join(held, ["doc_id", "term"]).groupBy("doc_id").agg(F.collect_list(F.struct("entity", "term")).alias("reveals")), "pii-reveals")
+    return written(pairs.join(told, ["entity", "term"], "left_semi").groupBy("text_key").agg(F.collect_list(F.struct("entity", "term")).alias("reveals")), "pii-reveals")
+
+
+def revealing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, reveals: the entities of each row with the terms that give them away; only rows that have such.
+
+    All counts cover all different texts; rows with the same text have the same answer, whatever their ids.
+    """
+    plain = _plain(docs, id_col, text_col)
+    return plain.select("doc_id", "text_key").join(_reveals_by_text(plain), "text_key").select("doc_id", "reveals")
 
 
 def _revealing(reveals: list | None) -> dict[str, set[str]]:
@@ -185,48 +235,84 @@ def _revealing(reveals: list | None) -> dict[str, set[str]]:
     return out
 
 
+FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, sanitised string"
+
+
+def _found(rows: Iterator[tuple], b: pa.RecordBatch) -> pa.RecordBatch:
+    """rows: text, its base spans and its added spans, for the rows of b."""
+    counts, shas, spans, clean = [[] for _ in KINDS], [], [], []
+    for text, base, added in rows:
+        for k, c in enumerate(counts):
+            c.append(sum(s[0] == k for s in base))
+        listed = ",".join(f"{KINDS[k]}:{x}:{y}" for k, x, y in base)
+        shas.append(hashlib.sha256(listed.encode()).hexdigest())
+        spans.append(",".join(filter(None, [listed, *(f"term:{x}:{y}" for x, y in added)])))
+        clean.append(sanitise(text, base, added) if base else text)
+    return pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas, pa.string()), pa.array(spans, pa.string()), pa.array(clean, pa.string())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "sanitised"])
+
+
+def _with_mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield b.filter(pa.array([bool(base_spans(t)) for t in b.column("text").to_pylist()], pa.bool_()))
+
+
+def _without_mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rest = b.filter(pa.array([not base_spans(t) for t in b.column("text").to_pylist()], pa.bool_()))
+        yield _found(((t, [], []) for t in rest.column("text").to_pylist()), rest)
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spans(text: str, told: list | None) -> tuple:
+        base = base_spans(text)
+        return text, base, added_spans(text, base, _revealing(told)) if told else []
+
+    for b in batches:
+        yield _found((spans(t, told) for t, told in zip(b.column("text").to_pylist(), b.column("reveals").to_pylist(), strict=True)), b)
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, sanitised of every row.
 
     spans: kind:start:end of the pattern matches by kind and start, then of the added spans (kind
-    `term`). Null text counts as empty. Repeated rows each give a row; a null doc_id keeps its pattern
-    matches; other columns are ignored; an empty table gives none.
+    `term`). Null text counts as empty; long texts are read whole. Each row is judged by its text alone: repeated rows, rows
+    that share an id and rows with a null id each give their own row; other columns, whatever their names, are ignored; an
+    empty table gives none. Only texts with a mention are joined with what the corpus tells.
     """
-    reveals = revealing_terms(docs, id_col, text_col)
-    # The written table of telling terms is small or not; the planner broadcasts it only if its size allows.
-    both = _plain(docs, id_col, text_col).join(reveals, "doc_id", "left").select("doc_id", "text", "reveals")
+    plain = _plain(docs, id_col, text_col)
+    reveals = _reveals_by_text(plain)
+    mentioned = plain.mapInArrow(_with_mentions, plain.schema).join(reveals, "text_key", "left").select("doc_id", "text", "reveals")
+    return plain.mapInArrow(_without_mentions, FOUND).unionByName(mentioned.mapInArrow(_told, FOUND))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            counts, shas, spans, clean = [[] for _ in KINDS], [], [], []
-            for text, told in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                base = base_spans(text)
-                added = added_spans(text, base, _revealing(told)) if told and base else []
-                for k, c in enumerate(counts):
-                    c.append(sum(s[0] == k for s in base))
-                listed = ",".join(f"{KINDS[k]}:{x}:{y}" for k, x, y in base)
-                shas.append(hashlib.sha256(listed.encode()).hexdigest())
-                spans.append(",".join(filter(None, [listed, *(f"term:{x}:{y}" for x, y in added)])))
-                clean.append(sanitise(text, base, added) if base else text)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas, pa.string()), pa.array(spans, pa.string()), pa.array(clean, pa.string())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "sanitised"])
 
-    return both.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, sanitised string")
+@F.arrow_udf(BooleanType())
+def _mentions(text: pa.Array) -> pa.Array:
+    return pa.array([bool(t) and bool(base_spans(t)) for t in text.to_pylist()], pa.bool_())
+
+
+@F.arrow_udf(StringType())
+def _scrub(text: pa.Array, told: pa.Array) -> pa.Array:
+    out = []
+    for t, r in zip(text.to_pylist(), told.to_pylist(), strict=True):
+        base = base_spans(t)
+        out.append(sanitise(t, base, added_spans(t, base, _revealing(r))))
+    return pa.array(out, pa.string())
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """docs, all rows and columns, with sanitised texts; n_chars, where there is such a column, follows the text. Null texts stay null."""
-    reveals = revealing_terms(docs)
-
-    @F.arrow_udf("string")
-    def scrub(text: pa.Array, told: pa.Array) -> pa.Array:
-        out = []
-        for t, r in zip(text.to_pylist(), told.to_pylist(), strict=True):
-            base = base_spans(t) if t else []
-            out.append(sanitise(t, base, added_spans(t, base, _revealing(r))) if base else t)
-        return pa.array(out, pa.string())
-
-    told = reveals.select(F.col("doc_id").alias("__doc"), F.col("reveals").alias("__reveals"))
-    out = docs.join(told, F.col("doc_id") == F.col("__doc"), "left").withColumn("text", scrub(F.col("text").cast("string"), F.col("__reveals")))
+    """docs, all rows and columns, with sanitised texts; n_chars, where there is such a column, follows the text.
+
+    Null texts stay null, empty ones empty; rows with the same text get the same text, whatever their ids; columns of any other
+    name stay as they are; an empty table gives an empty one.
+    """
+    text = F.col("text").cast("string")
+    reveals = _reveals_by_text(_plain(docs, "doc_id", "text"))
+    key, told = unused("text_key", docs), unused("reveals", docs)
+    reveals = reveals.select(F.col("text_key").alias(key), F.col("reveals").alias(told))
+    named = docs.withColumn("text", text)
+    without = named.where(~_mentions("text"))
+    mentioned = named.where(_mentions("text")).withColumn(key, F.xxhash64("text")).join(reveals, key, "left").withColumn("text", _scrub("text", told)).select(docs.columns)
+    out = without.unionByName(mentioned)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)

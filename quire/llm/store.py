@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from quire.runtime import ship
 
 _DIR = "spark.checkpoint.dir"
+#: Bytes of a batch that goes to a Python worker. By rows alone, ten thousand long texts would go at once.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,9 +34,16 @@ def new_dir(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/quire/{tag}-{uuid.uuid4().hex}"
 
 
+def bounded(spark: SparkSession) -> None:
+    """Bounds the batches of this session, where it has no bound of its own."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df, computed once, as a table in the shared folder."""
     spark = df.sparkSession
+    bounded(spark)
     path = new_dir(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -42,8 +51,17 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """name, or name with underscores after it: a column that none of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
