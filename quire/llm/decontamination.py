@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import unused, written
 from .words import shingle_rows, shingle_texts, words
 
 WIDTH, CONTAINMENT = 5, 0.8
@@ -71,9 +71,14 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, containment: fl
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose id holds no item."""
-    found = written(leaks(docs, items).select(F.col("doc_id").alias("__doc")).distinct(), "leaks")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__doc")), "left_anti")
+    """The rows of docs, all columns, whose id holds no item.
+
+    Rows that repeat an id go together if one of them holds an item; rows with a null id count as one id. Null and empty texts
+    hold none; columns of any other name stay as they are; an empty table gives an empty one.
+    """
+    doc = unused("doc", docs)
+    found = written(leaks(docs, items).select(F.col("doc_id").alias(doc)).distinct(), "leaks")
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(doc)), "left_anti")
 
 
 def oracle(width: int = WIDTH, containment: float = CONTAINMENT) -> str:

@@ -1,12 +1,13 @@
 """SimHash near-duplicates through a byte-position inverted index with count filtering.
 
 Fingerprints of 64 bits are eight positional bytes. Two that differ in at most two bits share at least
-six of the eight bytes in place. Instead of merging eight long single-byte posting lists and counting
-up to six, the lists are intersected six at a time before they are shuffled: one list for each choice
-of six positions (28 in all), keyed by those bytes. A pair is on a common list if and only if its tally of shared
-positional bytes reaches the guaranteed minimum, and a list cannot grow without bound: its members
-differ in two bytes only, so it has 65,536 members at most, however many documents there are. Members
-are verified by the bits in which they differ. Links within a list are given as a spanning forest, so
+six of the eight bytes in place. Single-byte posting lists hold a 256th of all fingerprints each, so the pairs on them
+grow with the square of the corpus. The index therefore has one list for each choice of six positions (28 in
+all), keyed by those bytes: a pair is on a common list if and only if it shares as many positional bytes as is
+guaranteed, and a list cannot grow without bound: its members
+differ in two bytes only, so it has 65,536 members at most, however many documents there are. For the pairs of a list
+the shared positional bytes are tallied; pairs that reach the minimum are verified by the bits in which they
+differ. Links within a list are given as a spanning forest, so
 no group is ever expanded into all its pairs, and components are found over these links.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import parts, written
+from .store import parts, unused, written
 
 SEED, BITS, BYTES = 42, 64, 8
 
@@ -73,11 +74,22 @@ def _lists(kept: int) -> list[tuple[int, np.uint64]]:
     return out
 
 
+def tally(differ: np.ndarray) -> np.ndarray:
+    """How many positional bytes the two fingerprints of each difference (exclusive or) share."""
+    return (np.ascontiguousarray(differ).view(np.uint8).reshape(-1, BYTES) == 0).sum(1)
+
+
+def _close(differ: np.ndarray, most: int) -> np.ndarray:
+    """Places of the differences whose tally reaches the guaranteed minimum and that have at most `most` bits."""
+    counted = np.flatnonzero(tally(differ) >= BYTES - most)
+    return counted[np.bitwise_count(differ[counted]) <= most]
+
+
 def _near(values: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """A spanning forest of the graph that links values with at most `most` differing bits; pairs of places in `values`.
 
-    Short lists are compared directly. In a long one with most = 2, every value is filed under itself
-    and its 64 one-bit changes: values filed under one key differ in two bits at most, and all that do meet.
+    In short lists every pair is tallied. In a long one with most = 2, every value is filed under itself
+    and its one-bit changes: all that differ in two bits at most meet under one key, and neighbours there are tallied.
     """
     parent = list(range(len(values)))
 
@@ -88,14 +100,16 @@ def _near(values: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         return x
 
     if len(values) <= 256 or most != 2:
-        found: Iterator[tuple[int, int]] = ((a, a + 1 + b) for a in range(len(values) - 1) for b in np.flatnonzero(np.bitwise_count(values[a + 1 :] ^ values[a]) <= most).tolist())
+        found: Iterator[tuple[int, int]] = ((a, a + 1 + b) for a in range(len(values) - 1) for b in _close(values[a + 1 :] ^ values[a], most).tolist())
     else:
         differ = int(np.bitwise_or.reduce(values ^ values[0]))
         flips = np.array([0, *(1 << k for k in range(BITS) if differ >> k & 1)], np.uint64)
         keys, who = (values[:, None] ^ flips).ravel(), np.repeat(np.arange(len(values)), len(flips))
         order = np.argsort(keys, kind="stable")
         same = np.flatnonzero(keys[order][1:] == keys[order][:-1])
-        found = zip(who[order[same]].tolist(), who[order[same + 1]].tolist(), strict=True)
+        one, two = who[order[same]], who[order[same + 1]]
+        kept = _close(values[one] ^ values[two], most)
+        found = zip(one[kept].tolist(), two[kept].tolist(), strict=True)
     for a, b in found:
         x, y = root(a), root(b)
         if x != y:
@@ -174,22 +188,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 3, most: int = 2) -> DataFrame:
-    """The rows of docs, all columns, without near-duplicates: of each component the row with the smallest doc_id stays (a null id comes
-    last, ties go to the least hash of the text), once if it is repeated."""
+    """The rows of docs, all columns, without near-duplicates, as keep_first says. Documents without words are alike; null text
+    counts as empty; columns of any name stay as they are; an empty table gives an empty one."""
     marked = written(fingerprints(docs, width=width), "simhash")
     return keep_first(docs, written(marked.join(_classes(marked, most), "fp").select("doc_id", "text_key", "component"), "simhash-labels"))
 
 
 def keep_first(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """The rows of docs without all but one of each component; labelled has doc_id, text_key and component of every row."""
+    """The rows of docs without all but one of each component; labelled has doc_id, text_key and component of every row.
+
+    The row with the smallest doc_id stays (a null id comes last, ties go to the least hash of the text). Of rows that repeat
+    both id and text the one with the least hash over all columns stays.
+    """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
     least = written(labelled.groupBy("component").agg(first.alias("r")).select("component", F.col("r.doc_id").alias("keep_id"), F.col("r.text_key").alias("keep_key")), "simhash-least")
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("text_key").eqNullSafe(F.col("keep_key"))
     judged = written(labelled.join(least, "component").groupBy("doc_id", "text_key").agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("n")), "simhash-judged")
-    key = lambda df: df.select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & F.xxhash64(F.col("text").cast("string").cast("binary")).eqNullSafe(F.col("__key"))
-    kept = docs.join(key(judged.where(~F.col("stays"))), same, "left_anti")
-    repeated = written(key(judged.where(F.col("stays") & (F.col("n") > 1))), "simhash-repeated")
+    doc, key, row = (unused(c, docs) for c in ("doc", "key", "row"))
+    named = lambda df: df.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key))
+    text_key = F.xxhash64(F.col("text").cast("string").cast("binary"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & text_key.eqNullSafe(F.col(key))
+    kept = docs.join(named(judged.where(~F.col("stays"))), same, "left_anti")
+    repeated = written(named(judged.where(F.col("stays") & (F.col("n") > 1))), "simhash-repeated")
     if repeated.isEmpty():
         return kept
-    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    held = kept.join(repeated, same, "left_semi").select(F.col("doc_id").alias(doc), text_key.alias(key), whole.alias(row))
+    one = held.groupBy(doc, key).agg(F.min_by(row, F.xxhash64(F.to_json(F.col(row)))).alias(row)).select(f"{row}.*")
+    return kept.join(repeated, same, "left_anti").unionByName(one)
