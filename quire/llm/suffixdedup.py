@@ -20,7 +20,11 @@ and holds every string whose anchor it may be.
 4. The blocks take back, for each anchor, how far repeats reach, and cut.
 
 A head with very many different contexts (a common line within different texts) does not go to one task: above HOT contexts its
-strings are counted as rows of their own, by a plain aggregation that combines before it shuffles.
+strings are counted as rows of their own, by a plain aggregation that combines before it shuffles. Heads that a sample of blocks
+shows to be that frequent are kept out of the lists from the start; the lists find the others. The sample moves work, never results.
+
+Contexts are equal by 96 bits of hash besides the 40 of the head. Of n different contexts of one head two are taken for
+equal with a probability of n^2 / 2^97: 10^-9 for 10^10 contexts.
 """
 
 from __future__ import annotations
@@ -39,8 +43,10 @@ from .store import parts, written
 
 SPAN, HEAD, REACH = 50, 20, 30
 BLOCK, CHUNK, PAD, HOT, SLICES = 2 << 20, 1 << 18, 64, 100_000, 6
+#: Blocks that splitters and frequent heads are read from, and contexts of a head in them that make it a candidate at least.
+SAMPLE, OFTEN = 16, 64
 NOBODY = np.iinfo(np.int64).max  # stands for a null id: larger than any other
-HEAD_BITS, CONTEXT_BITS = 40, 48
+HEAD_BITS = 40  # a context has 96 bits: a whole 64-bit word and half of another
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _S31, _S29 = np.uint64(31), np.uint64(29)
 
@@ -59,7 +65,8 @@ def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
 
     def block() -> pa.RecordBatch:
-        arrays = [np.array([number]), [np.array(ids, "<i8").tobytes()], [_zip(np.array([len(t) for t in texts], "<i8").tobytes())], [zstandard.ZstdCompressor(level=3).compress(b"".join(texts))]]
+        lengths = [len(t) if i is not None else -1 - len(t) for i, t in zip(ids, texts, strict=True)]  # below zero: no id
+        arrays = [np.array([number]), [np.array([NOBODY if i is None else i for i in ids], "<i8").tobytes()], [_zip(np.array(lengths, "<i8").tobytes())], [zstandard.ZstdCompressor(level=3).compress(b"".join(texts))]]
         return pa.RecordBatch.from_arrays([pa.array(arrays[0], pa.int64()), *(pa.array(a, pa.binary()) for a in arrays[1:])], names=["block", "ids", "lengths", "body"])
 
     for b in batches:
@@ -67,7 +74,7 @@ def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if texts and size + len(text or b"") > BLOCK:
                 yield block()
                 number, ids, texts, size = number + 1, [], [], 0
-            ids.append(NOBODY if doc is None else doc)
+            ids.append(doc)
             texts.append(text or b"")
             size += len(text or b"")
     if texts:
@@ -79,6 +86,8 @@ class Block:
 
     def __init__(self, ids: bytes, lengths: bytes, body: bytes):
         self.ids, lengths, raw = np.frombuffer(ids, "<i8"), np.frombuffer(_unzip(lengths), "<i8"), np.frombuffer(_unzip(body), np.uint8)
+        self.named = lengths >= 0
+        lengths = np.where(self.named, lengths, -1 - lengths)
         self.starts = np.cumsum(lengths) - lengths + PAD * np.arange(1, len(lengths) + 1)
         self.ends = self.starts + lengths
         self.data = np.full(len(raw) + PAD * (len(lengths) + 1), 0xFF, np.uint8)
@@ -99,24 +108,28 @@ class Block:
         for at in range(0, len(self.data), CHUNK):
             if valid[at : at + CHUNK].any():
                 found.append(self._chunk(at, valid))
-        places, heads, contexts = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        places, heads, contexts, more = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), *(np.zeros(0, np.uint64) for _ in range(3)))
         self.places, keep = np.unique(places, return_index=True)  # neighbouring chunks may find one anchor twice
-        heads, contexts = heads[keep], contexts[keep]
+        heads, contexts, more = heads[keep], contexts[keep], more[keep]
         self.doc = np.searchsorted(self.starts, self.places, "right") - 1
         owner = self.ids[self.doc] if len(self.doc) else np.zeros(0, np.int64)
-        order = np.lexsort((owner, contexts, heads))
-        h, c = heads[order], contexts[order]
+        order = np.lexsort((owner, more, contexts, heads))
+        h, c, m = heads[order], contexts[order], more[order]
         new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+        new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (m[1:] != m[:-1])
         self.first = order[new]  # anchor that stands for an entry
-        self.heads, self.contexts, self.owners = h[new], c[new], owner[order][new]
+        self.heads, self.contexts, self.more, self.owners = h[new], c[new], m[new], owner[order][new]
         self.entry = np.empty(len(h), np.int64)
         self.entry[order] = np.cumsum(new) - 1
         self.owner = owner
 
-    def _chunk(self, at: int, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _chunk(self, at: int, valid: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Places, heads, contexts and the second half of these, of 32 bits."""
         low, high = max(0, at - REACH), min(len(self.data), at + CHUNK + REACH + SPAN + 1)
         x = self.data[low:high].astype(np.uint64)
+        words = np.zeros(max(1, len(x) - 7), np.uint64)  # eight neighbouring bytes as one number
+        for k in range(8 if len(x) >= 8 else 0):
+            words |= x[k : len(x) - 7 + k] << np.uint64(8 * k)
         level = {1: (x + np.uint64(1)) * _M3}
         for n in (1, 2, 4, 8, 16):
             a, b = level[n][:-n], level[n][n:]
@@ -135,11 +148,15 @@ class Block:
             least = np.minimum(least[:-rest], least[rest:])
         own = np.flatnonzero(valid[at : at + CHUNK]) + (at - low)
         place = np.unique((least[own] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64))
-        context = np.zeros(len(place), np.uint64)
+        context, more = np.zeros(len(place), np.uint64), np.zeros(len(place), np.uint64)
         for n, offset in ((32, 0), (16, 32), (2, 48), (16, -30), (8, -14), (4, -6), (2, -2)):
             v = level[n][place + offset]
             context = (context ^ (context >> _S29)) * _M2 + (v ^ (v >> _S31)) * _M1
-        return place + low, head[place] >> np.uint64(64 - HEAD_BITS), ((context ^ (context >> _S31)) * _M3) >> np.uint64(64 - CONTEXT_BITS)
+        # The second half comes from the bytes again, eight at a time, not from the same hashes of 32 and 16.
+        for offset in (-30, -22, -14, -6, 2, 10, 18, 26, 34, 42):
+            at8 = np.minimum(place + offset, len(words) - 1)
+            more = (more ^ (more >> _S31)) * _M1 + (words[at8] ^ (words[at8] >> _S29)) * _M3
+        return place + low, head[place] >> np.uint64(64 - HEAD_BITS), (context ^ (context >> _S31)) * _M3, ((more ^ (more >> _S29)) * _M2) >> np.uint64(32)
 
     def room(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the document before (REACH at most) and from (SPAN at most) each anchor."""
@@ -184,47 +201,63 @@ def _range_of(heads: np.ndarray, n: int) -> np.ndarray:
     return ((heads >> np.uint64(HEAD_BITS - 32)) * np.uint64(n)) >> np.uint64(32)
 
 
-def _list_heads(n: int):
+def _frequent(b: Block, hot: np.ndarray) -> np.ndarray:
+    """Entries whose head is one of the frequent ones (sorted)."""
+    return np.isin(b.heads, hot) if len(hot) else np.zeros(len(b.heads), bool)
+
+
+def _list_heads(n: int, hot: np.ndarray):
     def run(batches):
         for number, b, _ in _each_block(batches):
-            cuts = np.searchsorted(_range_of(b.heads, n), np.arange(n + 1))
+            listed = np.flatnonzero(~_frequent(b, hot))
+            cuts = np.searchsorted(_range_of(b.heads[listed], n), np.arange(n + 1))
             docs, which = np.unique(b.owners, return_inverse=True)
             rows = []
             for r in range(n):
-                s = slice(cuts[r], cuts[r + 1])
-                if cuts[r] < cuts[r + 1]:
+                s = listed[cuts[r] : cuts[r + 1]]
+                if len(s):
                     used, k = np.unique(which[s], return_inverse=True)
                     own = docs[used]
                     head = np.array([len(k), len(own), own[0]], "<i8").tobytes() + _planes(np.diff(own, prepend=own[0]), 8)
-                    rows.append((r, number, _zip(head + _planes(b.heads[s], 5) + _planes(b.contexts[s], 6) + _planes(k, 2 if len(own) < 1 << 16 else 4))))
+                    rows.append((r, number, _zip(head + _planes(b.heads[s], 5) + _planes(b.contexts[s], 8) + _planes(b.more[s], 4) + _planes(k, 2 if len(own) < 1 << 16 else 4))))
             for k in range(0, len(rows), 64):
                 yield _rows(LISTS, rows[k : k + 64])
 
     return run
 
 
-def _unlist(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unlist(body: bytes) -> tuple[np.ndarray, ...]:
     raw = _unzip(body)
     n, docs, least = np.frombuffer(raw, "<i8", 3).tolist()
     at = 24 + 8 * docs
     own = least + np.cumsum(_from_planes(raw[24:at], 8).astype(np.int64))
     heads, at = _from_planes(raw[at : at + 5 * n], 5), at + 5 * n
-    contexts, at = _from_planes(raw[at : at + 6 * n], 6), at + 6 * n
-    return heads, contexts, own[_from_planes(raw[at:], 2 if docs < 1 << 16 else 4).astype(np.int64)]
+    contexts, at = _from_planes(raw[at : at + 8 * n], 8), at + 8 * n
+    more, at = _from_planes(raw[at : at + 4 * n], 4), at + 4 * n
+    return heads, contexts, more, own[_from_planes(raw[at:], 2 if docs < 1 << 16 else 4).astype(np.int64)]
+
+
+def _by_range(batches) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
+    """(range, rows) of a partition sorted by range; one range is held at a time."""
+    at, rows = None, []
+    for b in batches:
+        for r, block, body in zip(*(b.column(c).to_pylist() for c in ("range", "block", "body")), strict=True):
+            if r != at and rows:
+                yield at, rows
+                rows = []
+            at = r
+            rows.append((block, body))
+    if rows:
+        yield at, rows
 
 
 def _judge_heads(hot: int):
     def run(batches):
         """What is to be done about each anchor of the lists of a partition; a row for each list with anything to do."""
-        lists: dict[int, list[tuple[int, bytes]]] = {}
-        for b in batches:
-            for r, block, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                lists.setdefault(r, []).append((block, body))
-        while lists:
-            r, rows = lists.popitem()
+        for r, rows in _by_range(batches):
             parts_ = [_unlist(body) for _, body in rows]
             sizes = [len(x[0]) for x in parts_]
-            heads, contexts, owners = (np.concatenate(x) for x in zip(*parts_, strict=True))
+            heads, contexts, more, owners = (np.concatenate(x) for x in zip(*parts_, strict=True))
             del parts_
             order = np.argsort(heads, kind="stable")
             same = heads[order][1:] == heads[order][:-1]
@@ -232,12 +265,12 @@ def _judge_heads(hot: int):
             keep[order[1:][same]] = True
             keep[order[:-1][same]] = True
             at = np.flatnonzero(keep)
-            order = at[np.lexsort((owners[at], contexts[at], heads[at]))]
-            h, c, d = heads[order], contexts[order], owners[order]
+            order = at[np.lexsort((owners[at], more[at], contexts[at], heads[at]))]
+            h, c, m, d = heads[order], contexts[order], more[order], owners[order]
             status = np.zeros(len(heads), np.uint8)
             if len(order):
                 new_h = np.r_[True, h[1:] != h[:-1]]
-                new_c = new_h | np.r_[True, c[1:] != c[:-1]]
+                new_c = new_h | np.r_[True, (c[1:] != c[:-1]) | (m[1:] != m[:-1])]
                 group = np.cumsum(new_h) - 1
                 least = d[new_c][np.cumsum(new_c) - 1]
                 classes = np.bincount(group[new_c])[group]
@@ -257,12 +290,14 @@ def _judge_heads(hot: int):
     return run
 
 
-def _statuses(b: Block, side: list, n: int) -> np.ndarray:
-    cuts = np.searchsorted(_range_of(b.heads, n), np.arange(n + 1))
-    out = np.zeros(len(b.heads), np.uint8)
+def _statuses(b: Block, side: list, n: int, hot: np.ndarray) -> np.ndarray:
+    often = _frequent(b, hot)
+    listed = np.flatnonzero(~often)
+    cuts = np.searchsorted(_range_of(b.heads[listed], n), np.arange(n + 1))
+    out = np.where(often, np.uint8(CROWD), np.uint8(0))
     for x in side:
         if x["kind"] == 0:
-            out[cuts[x["range"]] : cuts[x["range"] + 1]] = np.frombuffer(_unzip(x["body"]), np.uint8)
+            out[listed[cuts[x["range"]] : cuts[x["range"] + 1]]] = np.frombuffer(_unzip(x["body"]), np.uint8)
     return out
 
 
@@ -351,10 +386,10 @@ class LoserTree:
 RUNS = LISTS
 
 
-def _cut_runs(n: int, splitters: list[bytes]):
+def _cut_runs(n: int, hot: np.ndarray, splitters: list[bytes]):
     def run(batches):
         for number, b, side in _each_block(batches):
-            entries = np.flatnonzero(_statuses(b, side, n) == EDGE)
+            entries = np.flatnonzero(_statuses(b, side, n, hot) == EDGE)
             if not len(entries):
                 continue
             rows = b.suffixes(entries)
@@ -396,11 +431,7 @@ def reaches(rows: np.ndarray, shared: np.ndarray, owners: np.ndarray) -> tuple[n
 
 
 def _merge_runs(batches):
-    runs: dict[int, list[tuple[int, bytes]]] = {}
-    for b in batches:
-        for r, block, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            runs.setdefault(r, []).append((block, body))
-    for r, found in runs.items():
+    for r, found in _by_range(batches):
         streams, entries, owners = [], [], []
         for _, body in found:
             raw = _unzip(body)
@@ -431,21 +462,25 @@ def _merge_runs(batches):
 
 
 def _sample_heads(batches):
+    """Heads as bytes, at even steps, and as numbers with their contexts, of those that have several in a block."""
+    schema = pa.schema([("head", pa.binary()), ("number", pa.int64()), ("n", pa.int64())])
     for _, b, _ in _each_block(batches):
         some = b.suffixes(np.arange(0, len(b.heads), max(1, len(b.heads) // 2000)))[:, :HEAD]
-        yield pa.RecordBatch.from_arrays([pa.array([bytes(x) for x in some], pa.binary())], names=["head"])
+        heads, n = np.unique(b.heads, return_counts=True)
+        heads, n = heads[n > 1], n[n > 1]
+        yield pa.RecordBatch.from_arrays([pa.array([*(bytes(x) for x in some), *[None] * len(heads)], pa.binary()), pa.array([*[None] * len(some), *heads.tolist()], pa.int64()), pa.array([*[0] * len(some), *n.tolist()], pa.int64())], schema=schema)
 
 
 # --- heads with very many contexts: strings as rows -----------------------------------------------
 
 
-def _crowd_strings(n: int):
+def _crowd_strings(n: int, hot: np.ndarray):
     """block, entry, before, key, owner of every string of the anchors whose heads are crowded."""
     schema = pa.schema([("block", pa.int64()), ("entry", pa.int64()), ("before", pa.int32()), ("key", pa.binary()), ("owner", pa.int64())])
 
     def run(batches):
         for number, b, side in _each_block(batches):
-            entries = np.flatnonzero(_statuses(b, side, n) == CROWD)
+            entries = np.flatnonzero(_statuses(b, side, n, hot) == CROWD)
             left, right = b.room(b.first[entries])
             for o in range(REACH + 1):
                 at = np.flatnonzero((left >= o) & (right >= SPAN - o))
@@ -474,9 +509,9 @@ def _crowd_reaches(batches):
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def covered(b: Block, side: list, n: int) -> np.ndarray:
+def covered(b: Block, side: list, n: int, hot: np.ndarray) -> np.ndarray:
     """Bytes of the block's data that go."""
-    status = _statuses(b, side, n)
+    status = _statuses(b, side, n, hot)
     before, after = np.zeros(len(b.heads), np.int64), np.zeros(len(b.heads), np.int64)
     for x in side:
         if x["kind"] == 1:
@@ -496,28 +531,28 @@ def covered(b: Block, side: list, n: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _cut(n: int):
+def _cut(n: int, hot: np.ndarray):
     def run(batches):
         for _, b, side in _each_block(batches):
-            gone = covered(b, side, n)
+            gone = covered(b, side, n, hot)
             rows = []
-            for doc, s, e in zip(b.ids.tolist(), b.starts.tolist(), b.ends.tolist(), strict=True):
+            for doc, named, s, e in zip(b.ids.tolist(), b.named.tolist(), b.starts.tolist(), b.ends.tolist(), strict=True):
                 g = gone[s:e]
                 lost = int(g.sum())
                 kept = b.data[s:e][~g] if lost else b.data[s:e]
-                rows.append((None if doc == NOBODY else doc, e - s, lost, int((g[1:] & ~g[:-1]).sum()) + int(g[:1].sum()), hashlib.sha256(kept.tobytes()).hexdigest()))
+                rows.append((doc if named else None, e - s, lost, int((g[1:] & ~g[:-1]).sum()) + int(g[:1].sum()), hashlib.sha256(kept.tobytes()).hexdigest()))
             yield _rows(RESULT, rows)
 
     return run
 
 
-def _cut_texts(n: int):
+def _cut_texts(n: int, hot: np.ndarray):
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.binary())])
 
     def run(batches):
         for _, b, side in _each_block(batches):
-            gone = covered(b, side, n)
-            yield _rows(schema, [(None if doc == NOBODY else doc, b.data[s:e][~gone[s:e]].tobytes()) for doc, s, e in zip(b.ids.tolist(), b.starts.tolist(), b.ends.tolist(), strict=True)])
+            gone = covered(b, side, n, hot)
+            yield _rows(schema, [(doc if named else None, b.data[s:e][~gone[s:e]].tobytes()) for doc, named, s, e in zip(b.ids.tolist(), b.named.tolist(), b.starts.tolist(), b.ends.tolist(), strict=True)])
 
     return run
 
@@ -532,37 +567,42 @@ def _with_side(blocks: DataFrame, *sides: tuple[int, DataFrame]) -> DataFrame:
     return blocks.join(side, "block", "left")
 
 
-def _plan(docs: DataFrame, id_col: str, text_col: str, hot: int) -> tuple[DataFrame, int]:
+def _plan(docs: DataFrame, id_col: str, text_col: str, hot: int) -> tuple[DataFrame, int, np.ndarray]:
     spark = docs.sparkSession
     tasks = parts(spark)
     n = SLICES * tasks  # ranges of heads; a task judges its ranges one after the other
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     blocks = written(source.mapInArrow(_to_blocks, BLOCK_SCHEMA), "suffix-blocks")
+    # Splitters need only be roughly even, and not every frequent head must be known: both come from SAMPLE blocks.
+    some = [r.block for r in blocks.select("block").orderBy(F.hash("block")).limit(SAMPLE).collect()]  # numbers alone, not bodies
+    sample = written(blocks.where(F.col("block").isin(some)).mapInArrow(_sample_heads, "head binary, number long, n long"), "suffix-sample")
+    heads = sorted(bytes(r["head"]) for r in sample.where("head is not null").select("head").collect())  # 2,000 a block
+    splitters = sorted({heads[k * len(heads) // tasks] for k in range(1, tasks)}) if heads else []
+    least = max(min(OFTEN, hot), hot * len(some) / max(1, blocks.count()))
+    often = np.array(sorted(r.number for r in sample.where("number is not null").groupBy("number").agg(F.sum("n").alias("n")).where(F.col("n") > least).select("number").collect()), np.uint64)
     kind = "range int, block long, body binary"
-    lists = blocks.mapInArrow(_list_heads(n), kind)
-    status = written(lists.repartition(tasks, "range").mapInArrow(_judge_heads(hot), kind + ", crowded boolean"), "suffix-status")
-    # Splitters need only be roughly even; they come from eight blocks.
-    some = [r.block for r in blocks.select("block").orderBy(F.hash("block")).limit(8).collect()]  # numbers alone, not bodies
-    heads = sorted(r["head"] for r in blocks.where(F.col("block").isin(some)).mapInArrow(_sample_heads, "head binary").collect())
-    splitters = sorted({bytes(heads[k * len(heads) // tasks]) for k in range(1, tasks)}) if heads else []
+    dealt = lambda df, a_task: df.repartitionById(tasks, F.floor(F.col("range") / a_task).cast("int")).sortWithinPartitions("range")
+    lists = blocks.mapInArrow(_list_heads(n, often), kind)
+    status = written(dealt(lists, SLICES).mapInArrow(_judge_heads(hot), kind + ", crowded boolean"), "suffix-status")
     judged = _with_side(blocks, (0, status))
-    found = written(judged.mapInArrow(_cut_runs(n, splitters), kind).repartition(tasks, "range").mapInArrow(_merge_runs, kind), "suffix-reaches")
+    found = written(dealt(judged.mapInArrow(_cut_runs(n, often, splitters), kind), 1).mapInArrow(_merge_runs, kind), "suffix-reaches")
     crowded = status.where("crowded").select("block").distinct()
-    if crowded.isEmpty():
-        return _with_side(blocks, (0, status), (1, found)), n
-    strings = judged.join(crowded, "block", "left_semi").mapInArrow(_crowd_strings(n), "block long, entry long, before int, key binary, owner long")
+    if not len(often) and crowded.isEmpty():
+        return _with_side(blocks, (0, status), (1, found)), n, often
+    held = judged if len(often) else judged.join(crowded, "block", "left_semi")
+    strings = held.mapInArrow(_crowd_strings(n, often), "block long, entry long, before int, key binary, owner long")
     strings = written(strings, "suffix-crowds")
     least = written(strings.groupBy("key").agg(F.min("owner").alias("least")), "suffix-owners")
     crowds = strings.join(least, "key").where(F.col("owner") > F.col("least"))
     crowds = crowds.groupBy("block", "entry").agg(F.max("before").alias("before"), (F.lit(SPAN) - F.min("before")).alias("after"))
     crowds = written(crowds.mapInArrow(_crowd_reaches, kind), "suffix-crowd-reaches")
-    return _with_side(blocks, (0, status), (1, found), (1, crowds)), n
+    return _with_side(blocks, (0, status), (1, found), (1, crowds)), n, often
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, text (UTF-8 bytes that are left) of every row; cuts may fall within a character."""
-    blocks, n = _plan(docs, id_col, text_col, hot)
-    return blocks.mapInArrow(_cut_texts(n), "doc_id long, text binary")
+    blocks, n, often = _plan(docs, id_col, text_col, hot)
+    return blocks.mapInArrow(_cut_texts(n, often), "doc_id long, text binary")
 
 
 def repeat_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
@@ -572,5 +612,5 @@ def repeat_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     as earlier for each other; a null id is later than any other. Other columns are ignored; an empty
     table gives none.
     """
-    blocks, n = _plan(docs, id_col, text_col, hot)
-    return blocks.mapInArrow(_cut(n), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    blocks, n, often = _plan(docs, id_col, text_col, hot)
+    return blocks.mapInArrow(_cut(n, often), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
