@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
+
 from . import decontamination, licenses, media, pieces, pii, sharding, simhash, suffixdedup, tokenfiles, toxicity
 from .store import table
 
-#: Folder of the public vocabulary files; QUIRE_TOKENIZERS names another.
-TOKENIZERS = os.environ.get("QUIRE_TOKENIZERS", "/opt/tokenizers")
+#: Public vocabulary files that the contracts name.
+PIECES, WORDS = (public_tokenizers.path(name) for name in ("piece_bpe_32k.model", "word_bpe_49k.json"))
+TOKENIZERS = os.path.dirname(PIECES)
 
 
 def op1_toxicity(spark, sf_dir):
@@ -35,13 +38,12 @@ def op6_media_columns(spark, sf_dir):
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
-
 def op7_pieces(spark, sf_dir):
-    return pieces.digest(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return pieces.digest(table(spark, sf_dir, "documents"), PIECES)
 
 
 def op8_token_files(spark, sf_dir):
-    return tokenfiles.token_file_digest(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return tokenfiles.token_file_digest(table(spark, sf_dir, "documents"), WORDS)
 
 
 def op9_suffix_dedup(spark, sf_dir):
