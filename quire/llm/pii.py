@@ -24,13 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
-from .store import unused, written
+from .store import BITS, key_bits, unused, written
 
 KINDS = ("email", "ip", "card", "phone")
 DISCLOSURE, SUPPORT = 0.8, 3
-#: Terms that a task counts before it passes the counts on; most frequent terms whose counts are broadcast; bits that mark
-#: repeated texts (4 MB; more repeated texts set more bits and send more texts through the shuffle, with the same result), and bits to a row of them.
-BLOCK, FREQUENT, BITS, SLICE = 200_000, 50_000, 1 << 25, 1 << 15
+#: Terms that a task counts before it passes the counts on; most frequent terms whose counts are broadcast.
+BLOCK, FREQUENT = 200_000, 50_000
 
 # Fixed patterns. Possessive repeats and look-behinds keep them linear without changing the matches.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -169,23 +168,13 @@ def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
 
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """A bit for the remainder by BITS of every key: BITS / 8 bytes, however many keys there are."""
-    at = F.pmod("text_key", F.lit(BITS))
-    parts = keys.groupBy(F.floor(at / SLICE).alias("slice")).agg(F.bitmap_construct_agg(F.pmod(at, F.lit(SLICE))).alias("bits")).collect()
-    out = np.zeros(BITS // 8, np.uint8)
-    for r in parts:
-        out[r.slice * SLICE // 8 :][: SLICE // 8] = np.frombuffer(r.bits, np.uint8)
-    return out
-
-
 def _reveals_by_text(plain: DataFrame) -> DataFrame:
     """text_key, reveals: the entities of each different text with its terms that give them away; only texts that have such."""
     spark = plain.sparkSession
     keys = written(plain.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies")), "pii-texts")
     total = keys.count()
     # Copies are no evidence. The bits say which texts may have some; those, few unless the corpus is all copies, are made one before they are counted.
-    repeated = spark.sparkContext.broadcast(_bitmap(keys.where("copies > 1")))
+    repeated = spark.sparkContext.broadcast(key_bits(keys.where("copies > 1"), "text_key"))
     texts = plain.select("text", "text_key")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import parts, unused, written
+from .store import may_be_in, parts, unused, written
 
 SEED, BITS, BYTES = 42, 64, 8
 
@@ -208,11 +208,12 @@ def keep_first(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     named = lambda df: df.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key))
     text_key = F.xxhash64(F.col("text").cast("string").cast("binary"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & text_key.eqNullSafe(F.col(key))
-    kept = docs.join(named(judged.where(~F.col("stays"))), same, "left_anti")
-    repeated = written(named(judged.where(F.col("stays") & (F.col("n") > 1))), "simhash-repeated")
+    goes, repeated = written(named(judged.where(~F.col("stays"))), "simhash-goes"), written(named(judged.where(F.col("stays") & (F.col("n") > 1))), "simhash-repeated")
+    asked = may_be_in(goes.union(repeated), key, text_key)
+    sure, kept = docs.where(~asked), docs.where(asked).join(goes, same, "left_anti")
     if repeated.isEmpty():
-        return kept
+        return sure.unionByName(kept)
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     held = kept.join(repeated, same, "left_semi").select(F.col("doc_id").alias(doc), text_key.alias(key), whole.alias(row))
     one = held.groupBy(doc, key).agg(F.min_by(row, F.xxhash64(F.to_json(F.col(row)))).alias(row)).select(f"{row}.*")
-    return kept.join(repeated, same, "left_anti").unionByName(one)
+    return sure.unionByName(kept.join(repeated, same, "left_anti")).unionByName(one)

@@ -9,7 +9,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from quire.runtime import ship
 
@@ -17,6 +21,9 @@ _DIR = "spark.checkpoint.dir"
 #: Bytes of a batch that goes to a Python worker. By rows alone, ten thousand long texts would go at once.
 _BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
+#: Bits that mark a set of keys (4 MB, however many keys; more keys set more bits), and bits to a row of them.
+BITS, _SLICE = 1 << 25, 1 << 15
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder; in local mode, where it may be unset, a temporary one is made and recorded."""
@@ -65,3 +72,25 @@ def unused(name: str, *frames: DataFrame) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def key_bits(keys: DataFrame, column: str) -> np.ndarray:
+    """A bit for the remainder by BITS of every key: a key without its bit is surely not among them."""
+    at = F.pmod(F.col(column), F.lit(BITS))
+    found = keys.groupBy(F.floor(at / _SLICE).alias("slice")).agg(F.bitmap_construct_agg(F.pmod(at, F.lit(_SLICE))).alias("bits")).collect()  # BITS / _SLICE rows at most
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in found:
+        out[r.slice * _SLICE // 8 :][: _SLICE // 8] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def may_be_in(keys: DataFrame, column: str, value: Column) -> Column:
+    """Whether value, a long without nulls, may be one of the keys. Rows that are not need not be shuffled to be joined with them."""
+    bits = keys.sparkSession.sparkContext.broadcast(key_bits(keys, column))
+
+    @F.arrow_udf(BooleanType())
+    def known(x: pa.Array) -> pa.Array:
+        at = np.mod(x.to_numpy(zero_copy_only=False), BITS)
+        return pa.array((bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return known(value)
