@@ -133,6 +133,17 @@ med AS (SELECT doc_id, page, coalesce(g[len(g) // 2 + 1], 12) AS median_gap FROM
 _GROUPS = r"""bl AS (SELECT *, 1 + sum((coalesce(gap > median_gap * 1.6::double OR gap < 0 OR step > 0.6, false))::int) OVER (PARTITION BY doc_id, page ORDER BY line_no) AS block_no FROM lg JOIN med USING (doc_id, page)),
 bs AS (SELECT doc_id, page, block_no, size, row_number() OVER (PARTITION BY doc_id, page, block_no ORDER BY count(*) DESC, min(line_no)) AS k FROM bl GROUP BY 1, 2, 3, 4)"""
 
+_FOUND = r"""SELECT doc_id, page, block_no::bigint AS block_no, trim(regexp_replace(regexp_replace(string_agg(text, ' ' ORDER BY line_no), '([\p{L}\p{N}_])-\s+([a-zà-ÿ])', '\1\2', 'g'), '\s+', ' ', 'g')) AS text,
+  any_value(s.size) AS font_size, sum(bold::int) > count(*) / 2 AS bold, min(y_top) AS y0, count(*) AS n_lines FROM bl JOIN (SELECT doc_id, page, block_no, size FROM bs WHERE k = 1) s USING (doc_id, page, block_no) GROUP BY 1, 2, 3"""
+# What the sample files hold: the lines of `sample_pdf.document_pdf`, 40 a page, 16 points apart, the first 82 points from the top.
+_PRINTED = r"""raw AS (SELECT doc_id, unnest(a) AS x, generate_subscripts(a, 1) - 1 AS k FROM (SELECT doc_id, str_split(coalesce(text, ''), chr(10)) AS a FROM documents)),
+cut AS (SELECT doc_id, k, 0 AS part, (k // 7 + 1)::varchar || ' ' || rtrim(x, '.!?') AS text, 14::double AS size, true AS bold FROM raw WHERE k % 7 = 0 AND length(x) <= 80
+  UNION ALL SELECT doc_id, k, part, substr(x, 80 * part + 1, 80), 10, false FROM (SELECT *, unnest(range((length(x) + 79) // 80)) AS part FROM raw WHERE k % 7 > 0 OR length(x) > 80)),
+printed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k, part) - 1 AS n FROM cut),
+lines AS (SELECT 'doc-' || doc_id || '.pdf' AS doc_id, n // 40 + 1 AS page, n % 40 + 1 AS line_no, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text, 72::double AS x, (82 + 16 * (n % 40))::double AS y_top, size, bold FROM printed)"""
+_PRINTED_BLOCKS = f"""grouped AS ({_FOUND}),
+blocks AS (SELECT * EXCLUDE (block_no, n_lines), 842::double AS page_height, row_number() OVER (PARTITION BY doc_id ORDER BY page, block_no) AS idx FROM grouped WHERE text <> '')"""
+
 
 def _sql(select: str, *parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + select
@@ -177,12 +188,12 @@ SELECT doc_id, string_agg(CASE WHEN after IS NULL THEN x WHEN right(x, 1) = '-'
     "dominant_size": _sql("SELECT doc_id, font_size AS size FROM (SELECT doc_id, font_size, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(idx)) AS k FROM blocks GROUP BY 1, 2) WHERE k = 1", _FX),
     "bold_by_chars": _sql("SELECT doc_id, page, line_no FROM lines WHERE bold", _FRAGS, _LINES),
     "line_gap_median": _sql("SELECT * FROM med", _FRAGS, _LINES, _GAPS.format("")),
-    "block_group": _sql(
-        r"""SELECT doc_id, page, block_no::bigint AS block_no, trim(regexp_replace(regexp_replace(string_agg(text, ' ' ORDER BY line_no), '([\p{L}\p{N}_])-\s+([a-zà-ÿ])', '\1\2', 'g'), '\s+', ' ', 'g')) AS text,
-  any_value(s.size) AS font_size, sum(bold::int) > count(*) / 2 AS bold, min(y_top) AS y0, count(*) AS n_lines FROM bl JOIN (SELECT doc_id, page, block_no, size FROM bs WHERE k = 1) s USING (doc_id, page, block_no) GROUP BY 1, 2, 3""",
-        _FRAGS, _LINES, _GAPS.format(" WHERE text <> ''"), _GROUPS,
-    ),
+    "block_group": _sql(_FOUND, _FRAGS, _LINES, _GAPS.format(" WHERE text <> ''"), _GROUPS),
     "union_pages": _sql("SELECT doc_id, page, idx, text FROM blocks WHERE page = 1 UNION ALL SELECT doc_id, page, idx, text FROM blocks WHERE page = 2", _FX),
     "classify_text_fns": _sql(r"""SELECT doc_id, idx, length(text) AS n, substr(text, 1, 1) AS head, right(text, 1) IN ('.', '!', '?', ':', ';', '”', '’', ')') AS ends, regexp_matches(text, '^\p{Ll}') AS lower,
   rtrim(text, '-') AS bare, contains(lower(text), 'bold') AS has_bold, substr(text, 1, 20) AS prefix FROM blocks""", _FX),
+    "pdf_paragraphs": _sql(
+        "SELECT doc_id, id, paragraph_number, chapter, section, page_start::int AS page_start, page_end::int AS page_end, text, length(text)::int AS n FROM paras",
+        _PRINTED, _GAPS.format(" WHERE text <> ''"), _GROUPS, _PRINTED_BLOCKS, _STATS, _KINDS, _CONTEXT, _PARAS,
+    ),
 }
