@@ -5,13 +5,14 @@ For tables of many documents use quire.plans and quire.operators directly.
 
 from __future__ import annotations
 
+import re
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as fn
-from quire.operators import layout, paragraphs, statistics
+from quire.operators import layout, statistics
 from quire.plans import documents as plans
 from quire.schema import PARAGRAPH_FIELDS
 from quire.sources.pdf.content import Fragment
@@ -19,6 +20,7 @@ from quire.sources.pdf.filters import apply_predictor
 from quire.sources.pdf.fonts import Font, parse_tounicode
 
 DEFAULT_BODY = statistics.DEFAULT_BODY
+_DOTTED = re.compile(r"\d+(\.\d+)+\s+\S")
 _BLOCK = "doc_id string, idx long, text string, page int, font_size double, bold boolean, y0 double, page_height double"
 
 
@@ -46,21 +48,16 @@ class Paragraph:
 
 
 class HeadingState:
-    """Chapter and section in force after the headings seen so far."""
+    """Chapter and section in force after the headings seen so far; tables of blocks use paragraphs.heading_context."""
 
-    def __init__(self, spark: SparkSession | None = None):
-        self.seen: list[str] = []
-        self.chapter: str | None = None
-        self.section: str | None = None
-        self._spark = spark
+    def __init__(self, chapter: str | None = None, section: str | None = None):
+        self.chapter, self.section = chapter, section
 
     def update(self, heading_text: str) -> None:
-        self.seen.append(heading_text)
-        rows = [("", k, t) for k, t in enumerate(self.seen)]
-        df = session(self._spark).createDataFrame(rows, "doc_id string, idx long, text string")
-        kinds = df.withColumn("kind", F.when(F.col("text").rlike(fn.SECTION_NUMBER), "section").otherwise("chapter"))
-        last = paragraphs.heading_context(kinds).orderBy(F.desc("idx")).first()
-        self.chapter, self.section = last.chapter, last.section
+        if _DOTTED.match(heading_text):
+            self.section = heading_text
+        else:
+            self.chapter, self.section = heading_text, None
 
 
 def session(spark: SparkSession | None = None) -> SparkSession:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Characters and patterns that decide the results.
 SPACE = r"[\s\x1c-\x1f]"
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SENTENCE_END = ".!?:;”’)"
 JOINING = ",;:)–—-”’"
 PARA_NUMBER = rf"(?U)^(\d{{1,3}})\.{SPACE}+(?=[A-Z“‘(])"
@@ -37,11 +38,11 @@ def starts_lower(text: Column) -> Column:
 
 
 def strip_hyphens(text: Column) -> Column:
-    return F.regexp_replace(text, "-+$", "")
+    return F.rtrim(text, F.lit("-"))
 
 
 def strip_end(text: Column) -> Column:
-    return F.regexp_replace(text, f"(?U){SPACE}+$", "")
+    return F.rtrim(text, F.lit(SPACES))
 
 
 def para_number(text: Column) -> Column:
@@ -52,14 +53,6 @@ def is_numbered(text: Column) -> Column:
     return text.rlike(PARA_NUMBER)
 
 
-def is_bold_font(name: Column) -> Column:
-    return F.contains(F.lower(name), F.lit("bold"))
-
-
-def has_bold_flag(flags: Column) -> Column:
-    return flags.bitwiseAND(16) != 0
-
-
 def join_lines(lines: Column) -> Column:
     """One string of an array of lines; a hyphen at a line's end goes when the next line starts in lower case."""
     clean = F.filter(F.transform(lines, collapse), lambda x: x != "")

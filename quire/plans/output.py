@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .documents import envelopes, records
+from .documents import envelopes, preview, records
 
 
 def write_json(paras: DataFrame, source: str, path: Path, indent: int = 2) -> int:
@@ -38,5 +38,13 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return found.select("source", F.explode("paragraphs").alias("p")).select("source", "p.*")
 
 
-def numbered_count(paras: DataFrame) -> int:
-    return paras.agg(F.count("paragraph_number").alias("n")).first().n
+def summary(paras: DataFrame, n: int = 3) -> list[str]:
+    """Counts, then the first n numbered paragraphs with their headings and page, as lines of text."""
+    found = paras.agg(F.countDistinct("doc_id").alias("docs"), F.count(F.lit(1)).alias("all"), F.count("paragraph_number").alias("numbered")).first()
+    lines = [f"{found.docs} documents, {found['all']} paragraphs, {found.numbered} of them numbered"]
+    return lines + [f"{r.paragraph_number} | {r.chapter or '-'} | {r.section or '-'} | page {r.page_start} | {r.text}" for r in preview(paras, n).collect()]
+
+
+def head(paras: DataFrame, n: int = 20):
+    """The first n records as a pandas frame."""
+    return records(paras).orderBy("doc_id", "id").limit(n).toPandas()

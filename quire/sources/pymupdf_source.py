@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -20,25 +21,31 @@ def available() -> bool:
     return find_spec("fitz") is not None
 
 
+def page_blocks(name: str, number: int, page: Any) -> list[tuple]:
+    """Rows of the text blocks of one page, as the library gives it: images and blocks without visible text are left out."""
+    rows = []
+    for k, block in enumerate(page.get_text("dict")["blocks"]):
+        lines = [[s for s in line["spans"] if s["text"].strip()] for line in block["lines"]] if block["type"] == 0 else []
+        spans = [s for line in lines for s in line]
+        if spans:
+            size = Counter(round(s["size"], 1) for s in spans).most_common(1)[0][0]
+            bold = 2 * sum(bool(s["flags"] & 16) for s in spans) > len(spans)
+            rows.append((name, number, k, ["".join(s["text"] for s in line) for line in lines if line], size, bold, block["bbox"][1], page.rect.height))
+    return rows
+
+
 def decode_blocks(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import fitz
 
         for b in batches:
             for name, content in zip(b["path"], b["content"], strict=True):
-                rows = []
-                for number, page in enumerate(fitz.open(stream=bytes(content), filetype="pdf"), 1):
-                    for k, block in enumerate(page.get_text("dict")["blocks"]):
-                        if block["type"] != 0:
-                            continue
-                        lines = [[s for s in line["spans"] if s["text"].strip()] for line in block["lines"]]
-                        spans = [s for line in lines for s in line]
-                        if spans:
-                            size = Counter(round(s["size"], 1) for s in spans).most_common(1)[0][0]
-                            bold = 2 * sum(bool(s["flags"] & 16) for s in spans) > len(spans)
-                            rows.append((name, number, k, ["".join(s["text"] for s in line) for line in lines if line], size, bold, block["bbox"][1], page.rect.height))
+                rows = [r for number, page in enumerate(fitz.open(stream=bytes(content), filetype="pdf"), 1) for r in page_blocks(name, number, page)]
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in RAW.split(", ")])
 
-    raw = files.select("path", "content").mapInPandas(run, RAW)
+    return blocks_of(files.select("path", "content").mapInPandas(run, RAW))
+
+
+def blocks_of(raw: DataFrame) -> DataFrame:
     blocks = raw.withColumn("text", fn.join_lines(F.col("lines"))).where("text <> ''").drop("lines")
     return blocks.withColumn("idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "block_no")).cast("long")).drop("block_no")

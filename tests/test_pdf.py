@@ -92,6 +92,24 @@ def test_command_line(spark, tmp_path, packed):
     assert read_json(spark, str(out)).count() == body["paragraph_count"] == 2
 
 
+def test_command_line_over_a_folder(spark, tmp_path, capsys):
+    folder, out = tmp_path / "in", tmp_path / "out.parquet"
+    folder.mkdir()
+    for name, packed in (("a.pdf", False), ("b.pdf", True)):
+        (folder / name).write_bytes(write_pdf(PAGES, packed))
+    (folder / "c.pdf").write_bytes(b"%PDF-1.4 cut off")
+    assert cli.main(["--pdf", str(folder), "-o", str(out), "--preview", "1"]) == 1  # one file cannot be read
+    said = capsys.readouterr()
+    assert spark.read.parquet(str(out)).count() == 4 and "c.pdf: " in said.err
+    assert said.out.splitlines()[0] == "2 documents, 4 paragraphs, 4 of them numbered" and len(said.out.splitlines()) == 2
+
+
+def test_an_unreadable_file_writes_nothing(spark, tmp_path, capsys):
+    (tmp_path / "x.pdf").write_bytes(b"%PDF-1.4 cut off")
+    assert cli.main(["--pdf", str(tmp_path / "x.pdf"), "-o", str(tmp_path / "x.json")]) == 1
+    assert not (tmp_path / "x.json").exists() and "x.pdf: " in capsys.readouterr().err
+
+
 def test_stream_of_files(spark, tmp_path):
     folder, out = tmp_path / "in", tmp_path / "out"
     folder.mkdir()
