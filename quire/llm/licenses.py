@@ -69,7 +69,7 @@ class Weights:
             light = 0.0
             for t, x in sorted(v.items(), key=lambda i: (i[1], i[0])):
                 light += x * x
-                if light >= cosine * cosine * (1 - 1e-9):
+                if light >= cosine * cosine * (1 - 1e-5):  # scores are rounded to six digits before they meet the threshold
                     found.add(t)
         return sorted(found)
 
