@@ -19,7 +19,10 @@ from quire.runtime import ship
 
 _DIR = "spark.checkpoint.dir"
 #: Bytes of a batch that goes to a Python worker. By rows alone, ten thousand long texts would go at once.
-_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+#: Whether shuffle files go as soon as their query ends, not when the driver next collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Bits that mark a set of keys (4 MB, however many keys; more keys set more bits), and bits to a row of them.
 BITS, _SLICE = 1 << 25, 1 << 15
@@ -48,11 +51,16 @@ def bounded(spark: SparkSession) -> None:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df, computed once, as a table in the shared folder."""
+    """df, computed once, as a table in the shared folder; the shuffle files of its query are removed, as the table takes their place."""
     spark = df.sparkSession
     bounded(spark)
     path = new_dir(spark, tag)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
