@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Words up to CACHED characters are remembered, WORDS of them at most; from LONG characters on, a word is merged with a heap, whose cost does not grow with its square.
-CACHED, WORDS, LONG = 48, 300_000, 256
+CACHED, WORDS, LONG = 48, 100_000, 256
 _NONE = np.iinfo(np.int64).max
 
 
