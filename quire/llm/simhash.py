@@ -26,6 +26,8 @@ from .components import components
 from .store import may_be_in, parts, unused, written
 
 SEED, BITS, BYTES = 42, 64, 8
+#: Values of a list up to which its forest is one of least bits; beyond, one by breadth.
+LEAST_BITS = 4096
 
 
 def shingle_hashes(text: bytes, width: int) -> list[int]:
@@ -45,10 +47,13 @@ def shingle_hashes(text: bytes, width: int) -> list[int]:
 def fingerprint(text: bytes, width: int = 3) -> int:
     """Majority bits of the XXH64 values of all shingles of `width` words; 0 without words."""
     hashes = shingle_hashes(text, width)
-    if not hashes:
-        return 0
+    return majority(np.array(hashes, "<u8")) if hashes else 0
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of 64-bit hashes, one at least: a bit is 1 if set in over half of them."""
     n, ones = len(hashes), np.zeros(BITS, np.int64)
-    flat = np.array(hashes, "<u8").view(np.uint8).reshape(-1, BYTES)
+    flat = hashes.view(np.uint8).reshape(-1, BYTES)
     for k in range(0, n, 1 << 16):
         ones += np.unpackbits(flat[k : k + (1 << 16)], axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
@@ -117,7 +122,40 @@ def _near(values: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
             yield a, b
 
 
-def _link(most: int):
+def _forest(values: np.ndarray, most: int, shared: int) -> Iterator[tuple[int, int]]:
+    """A spanning forest, as _near gives it, of the graph that links values which share `shared` positional bytes and differ in at most
+    `most` bits. Up to LEAST_BITS values its links are those of the fewest bits. In a dense group the first values reach all others, so
+    a long list takes few rounds."""
+    left = np.arange(1, len(values))
+    bits, source, queue = np.full(len(left), BITS + 1), np.zeros(len(left), np.int64), []
+    at = 0
+    while len(left):
+        differ = values[left] ^ values[at]
+        now = np.where(tally(differ) >= shared, np.bitwise_count(differ), BITS + 1)
+        if len(values) <= LEAST_BITS:
+            nearer = now < bits
+            bits[nearer], source[nearer] = now[nearer], at
+            k = int(np.argmin(bits))
+            at, linked = int(left[k]), bits[k] <= most
+            if linked:
+                yield int(source[k]), at
+            keep = np.arange(len(left)) != k
+            left, bits, source = left[keep], bits[keep], source[keep]
+            continue
+        reached = now <= most
+        for b in left[reached].tolist():
+            yield at, b
+            queue.append(b)
+        left = left[~reached]
+        if queue:
+            at = queue.pop()
+        elif len(left):
+            at, left = int(left[0]), left[1:]
+
+
+def _link(most: int, shared: int):
+    forest = _near if shared == BYTES - most else lambda values, most: _forest(values, most, shared)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links within the lists of a partition sorted by (list, key)."""
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -128,7 +166,7 @@ def _link(most: int):
             a_, b_ = [], []
             for k in np.flatnonzero(ends - starts > 1).tolist():
                 values = fp[starts[k] : ends[k]]
-                for a, b in _near(values.view(np.uint64), most):
+                for a, b in forest(values.view(np.uint64), most):
                     a_.append(values[a])
                     b_.append(values[b])
             return pa.RecordBatch.from_arrays([pa.array(a_, pa.int64()), pa.array(b_, pa.int64())], schema=schema) if a_ else None
@@ -156,14 +194,16 @@ def _link(most: int):
     return run
 
 
-def links(fps: DataFrame, most: int = 2) -> DataFrame:
+def links(fps: DataFrame, most: int = 2, shared: int | None = None) -> DataFrame:
     """Links a, b between the distinct fingerprints in `fps` (column fp) such that connected fingerprints are those connected
-    by steps of at most `most` differing bits (0 to 2)."""
-    lists = _lists(BYTES - most)
+    by steps of at most `most` differing bits (0 to 2). With `shared`, steps also share so many positional bytes, and `most` may be larger;
+    up to BYTES - shared bits no step is missed."""
+    shared = BYTES - most if shared is None else shared
+    lists = _lists(shared)
     postings = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("which"), F.col("fp").bitwiseAND(int(m.astype(np.int64))).alias("key")) for k, m in lists))).alias("at"))
     postings = postings.select(F.col("at.which").alias("which"), F.col("at.key").alias("key"), "fp")
     n = parts(fps.sparkSession)
-    return postings.repartition(n, "which", "key").sortWithinPartitions("which", "key").mapInArrow(_link(most), "a long, b long").distinct()
+    return postings.repartition(n, "which", "key").sortWithinPartitions("which", "key").mapInArrow(_link(most, shared), "a long, b long").distinct()
 
 
 def _classes(marked: DataFrame, most: int) -> DataFrame:

@@ -1,15 +1,19 @@
 """Near-duplicates by exact Jaccard similarity of word shingles.
 
-Two documents are linked if their sets of five-word shingles have a Jaccard similarity of at least 0.8. Such pairs differ
-in about ten of the 64 bits of a SimHash fingerprint, often in more, so no bound on bits that is of use finds
-all of them. Here the pairs are found without loss: shingles have one order, rare ones first. If two
+Two documents are linked if their sets of five-word shingles have a Jaccard similarity of at least 0.8. Candidates come from SimHash
+fingerprints of these sets, through the byte-position inverted index of simhash.py: pairs that share at least SHARED of the eight positional bytes by
+count, and differ in at most MOST bits, of which every list gives a spanning forest. The exact similarity is then verified, and what is linked
+is one class. Pairs of that similarity may differ in more bits and bytes than any index of use allows, so
+an exact search for links between the classes follows.
+
+It works without loss: shingles have one order, rare ones first. If two
 sets are that similar, the first fifth of each (and one more) share a shingle, so a list is made of every such shingle. On
 a list, a pair is dropped if its sizes, or the places of the shingle in the two orders, rule the similarity out. What is left is
 verified with the whole sets. The order takes its frequencies from a sample; any order gives the same pairs, a
 poor one only longer lists.
 
 Only groups are wanted, so a group of n near copies is not expanded into its pairs. Every member of a list is first compared
-with a few members alone, the same ones in most lists of a group. Whom that links is one class; then, in lists of more than three,
+with a few members alone, the same ones in most lists of a group, unless SimHash has put both into one class. Whom that links is one class, too; then, in lists of more than three,
 members that are not of the class of the first member are compared with all the others, which finds every link between classes.
 Sketches of parity bits rule out most pairs: two sets differ in at least as many shingles as their sketches in bits.
 Lists pass through a task in order, a few members held at a time; those of shingles that are frequent in the sample are joined
@@ -19,6 +23,8 @@ instead. Texts are never shuffled: only those of pairs that are left are made se
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .simhash import SEED, keep_first, shingle_hashes
-from .store import may_be_in, parts, written
+from .simhash import SEED, keep_first, links, majority, shingle_hashes
+from .store import BITS, key_bits, parts, released, written
 
 WIDTH = 5
+#: Bits that the fingerprints of a candidate differ in at most, positional bytes that they share at least.
+MOST, SHARED = 12, 4
 #: Documents that the frequencies are taken from, and the most shingles that are known by frequency (16 bytes each, broadcast).
 SAMPLE, KNOWN = 20_000, 200_000
 #: Documents of the sample from which a shingle counts as frequent; members that the others of such a list are first compared with.
@@ -77,19 +85,20 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 
 def _mark(known: tuple[np.ndarray, np.ndarray]):
-    """doc_id, text_key, node (the set's name), n (its size), its sketch and the start of its order, n - ceil(0.8 n) + 1 shingles; a task
+    """doc_id, text_key, node (the set's name), n (its size), fp (its fingerprint), its sketch and the start of its order, n - ceil(0.8 n) + 1 shingles; a task
     gives the last once for each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, counts = known.value
         sent: set[int] = set()
         for b in batches:
-            nodes, sizes, firsts, bits = [], [], [], []
+            nodes, sizes, fps, firsts, bits = [], [], [], [], []
             for text in b.column("text").to_pylist():
                 s = shingle_set(text)
                 n = len(s)
                 nodes.append(node := _node(s))
                 sizes.append(n)
+                fps.append(majority(s))
                 bits.append(sketch(s))
                 if node in sent:
                     firsts.append(None)
@@ -100,16 +109,23 @@ def _mark(known: tuple[np.ndarray, np.ndarray]):
                     at = np.minimum(np.searchsorted(often, s), len(often) - 1)
                     weight = np.where(often[at] == s, counts[at], 0)
                 firsts.append(s[np.argsort(weight, kind="stable")][: n + (-4 * n // 5) + 1])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), *map(pa.array, np.array(bits, np.int64).reshape(-1, len(SKETCH)).T)], names=["doc_id", "text_key", "node", "n", "first", *SKETCH])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(firsts, pa.list_(pa.int64())), *map(pa.array, np.array(bits, np.int64).reshape(-1, len(SKETCH)).T)], names=["doc_id", "text_key", "node", "n", "fp", "first", *SKETCH])
 
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for k in range(0, b.num_rows, 256):
-            sets = [shingle_set(t) for t in b.column("text").slice(k, 256).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
+def _sets(bits):
+    """node and s, the set, of the texts whose key has its bit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.mod(b.column("text_key").to_numpy(), BITS)
+            some = b.column("text").filter(pa.array((bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            for k in range(0, len(some), 256):
+                sets = [shingle_set(t) for t in some.slice(k, 256).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
+
+    return run
 
 
 PAIRS = "a long, b long, h long, node long, n int, place int"
@@ -170,8 +186,17 @@ def _distinct(pairs: DataFrame) -> DataFrame:
 
 
 def _sketches(marked: DataFrame) -> DataFrame:
-    """node, n and sketch, a row a set."""
-    return marked.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", *SKETCH)))
+    """node, n, fingerprint and sketch, a row a set."""
+    return marked.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "fp", *SKETCH)))
+
+
+def _by_fingerprint(sketches: DataFrame) -> DataFrame:
+    """Pairs a, b of sets that the byte-position index links; sets with one fingerprint are paired with the least of them."""
+    least = written(sketches.groupBy("fp").agg(F.min("node").alias("least")), "similar-fps")
+    near = written(links(least.select("fp"), MOST, SHARED), "similar-fp-links")
+    a, b = (least.select(F.col("fp").alias(k), F.col("least").alias(f"n{k}")) for k in "ab")
+    apart = near.join(a, "a").join(b, "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
+    return apart.union(sketches.select("fp", "node").join(least, "fp").where("node <> least").select("least", "node"))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -181,11 +206,25 @@ def _ends(pairs: DataFrame) -> DataFrame:
 def _whole(nodes: DataFrame, texts: DataFrame, marked: DataFrame) -> DataFrame:
     """node and s, the whole set, of every node."""
     one = written(marked.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key")).select("text_key"), "similar-one")
-    # Null and empty texts have no pairs. Repeated texts give the same set, once for each until they are made one.
-    whole = texts.where(may_be_in(one, "text_key", F.col("text_key"))).select("text").mapInArrow(_sets, "node long, s array<long>")
+    # Null and empty texts have no pairs. Repeated texts give the same set, once for each until they are made one. One Python step a task.
+    bits = texts.sparkSession.sparkContext.broadcast(key_bits(one, "text_key"))
+    whole = texts.select("text", "text_key").mapInArrow(lambda batches: released(_sets(bits)(batches)), "node long, s array<long>")
     return written(whole.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("s").alias("s")), "similar-set")
 
 
+def _more(nodes: DataFrame, whole: DataFrame, texts: DataFrame, marked: DataFrame) -> DataFrame:
+    """whole, and the sets of those of the nodes that it lacks."""
+    lacking = written(nodes.join(whole, "node", "left_anti"), "similar-nodes")
+    return whole if lacking.isEmpty() else whole.union(_whole(lacking, texts, marked))
+
+
+def _allowed(pairs: DataFrame, sketches: DataFrame, *apart: str) -> DataFrame:
+    """Those of the pairs a, b whose sizes and sketches allow a similarity of 0.8, and that differ in the columns apart."""
+    x, y = (sketches.select(F.col("node").alias(k), F.struct("n", *apart, *SKETCH).alias(s)) for k, s in ("ax", "by"))
+    differ = [F.col(f"x.{c}") != F.col(f"y.{c}") for c in apart]
+    return pairs.join(x, "a").join(y, "b").where(reduce(and_, differ, _close("x", "y"))).select("a", "b")
+
+
 def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     """The pairs a, b of sets whose Jaccard similarity is at least 0.8."""
     left, right = (whole.select(F.col("node").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
@@ -197,6 +236,13 @@ def classes(texts: DataFrame, marked: DataFrame, frequent: list[int]) -> DataFra
     """node and component of the shingle sets that are connected with others by steps of a Jaccard similarity of at least 0.8.
     frequent: shingles whose lists may be too long for one task, KNOWN at most."""
     spark = texts.sparkSession
+    sketches = written(_sketches(marked), "similar-sketches")
+    pairs = written(_allowed(_by_fingerprint(sketches), sketches), "similar-fp-pairs")
+    whole = _whole(written(_ends(pairs), "similar-nodes"), texts, marked)
+    linked = written(_verified(pairs, whole), "similar-linked")
+    label = written(components(linked), "similar-classes")
+    sketches = written(sketches.drop("fp").join(label, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component"), "similar-sketches")
+
     order = F.xxhash64("node")
     members = marked.where("first is not null").select("node", "n", F.posexplode("first").alias("place", "h"))
     hot = F.broadcast(spark.createDataFrame([(h,) for h in frequent], "h long"))
@@ -207,17 +253,16 @@ def classes(texts: DataFrame, marked: DataFrame, frequent: list[int]) -> DataFra
     pivots = written(often.groupBy("h").agg(F.array_distinct(F.transform(F.array(*ends), lambda x: F.struct(x.node.alias("node"), x.n.alias("n"), x.place.alias("place")))).alias("xs")).select("h", F.explode("xs").alias("x")), "similar-pivots")
     near = often.select("h", F.struct("node", "n", "place").alias("y")).join(pivots, "h").where((F.col("x.node") != F.col("y.node")) & _possible("x", "y"))
     pairs = written(walked.where("a is not null").select("a", "b").distinct().union(_distinct(near)).distinct(), "similar-pairs")
-    sketches = written(_sketches(marked), "similar-sketches")
-    both = pairs.join(sketches.select(F.col("node").alias("a"), F.struct("n", *SKETCH).alias("x")), "a").join(sketches.select(F.col("node").alias("b"), F.struct("n", *SKETCH).alias("y")), "b")
-    pairs = written(both.where(_close("x", "y")).select("a", "b"), "similar-first-pairs")
-    whole = _whole(written(_ends(pairs), "similar-nodes"), texts, marked)
-    first = written(_verified(pairs, whole), "similar-first")
+    pairs = written(_allowed(pairs, sketches, "class"), "similar-first-pairs")
+    nodes = written(_ends(pairs), "similar-nodes")
+    whole = _more(nodes, whole, texts, marked)
+    first = linked.union(_verified(pairs, whole.join(nodes, "node", "left_semi")))
     label = written(components(first), "similar-classes")
     long = walked.where("h is not null").select("h", "node", "n", "place").union(often.select("h", "node", "n", "place"))
     classed = written(long.join(label, "node", "left").select("h", "node", "n", "place", F.coalesce("component", "node").alias("class")), "similar-classed")
     head = F.min(F.struct(order.alias("k"), F.col("class").alias("main")))
     mixed = written(classed.groupBy("h").agg(F.min("class").alias("low"), F.max("class").alias("high"), head.alias("m")).where("low < high").select("h", "m.main"), "similar-main")
-    there = classed.join(mixed, "h").join(sketches.drop("n"), "node")
+    there = classed.join(mixed, "h").join(sketches.drop("n", "class"), "node")
     there = written(there.select("h", "main", F.struct("node", "n", "place", "class", *SKETCH).alias("y")), "similar-mixed")
     others = there.where(F.col("y.class") != F.col("main")).select("h", F.col("y").alias("x"))
     apart = (F.col("x.class") != F.col("y.class")) & ((F.col("y.class") == F.col("main")) | (F.col("x.node") < F.col("y.node")))
@@ -226,8 +271,7 @@ def classes(texts: DataFrame, marked: DataFrame, frequent: list[int]) -> DataFra
     if pairs.isEmpty():
         return label
     nodes = written(_ends(pairs), "similar-nodes")
-    more = _whole(written(nodes.join(whole, "node", "left_anti"), "similar-nodes"), texts, marked)
-    found = _verified(pairs, whole.join(nodes, "node", "left_semi").union(more))
+    found = _verified(pairs, _more(nodes, whole, texts, marked).join(nodes, "node", "left_semi"))
     return components(label.select(F.col("component").alias("a"), F.col("node").alias("b")).union(found))
 
 
@@ -237,7 +281,7 @@ def drop_similar(docs: DataFrame) -> DataFrame:
     texts = _texts(docs)
     shingles, counts = _frequencies(texts)
     known = docs.sparkSession.sparkContext.broadcast((shingles, counts))
-    marked = written(texts.mapInArrow(_mark(known), "doc_id long, text_key long, node long, n int, first array<long>, " + ", ".join(f"{p} long" for p in SKETCH)), "similar")
+    marked = written(texts.mapInArrow(lambda batches: released(_mark(known)(batches)), "doc_id long, text_key long, node long, n int, fp long, first array<long>, " + ", ".join(f"{p} long" for p in SKETCH)), "similar")
     label = classes(texts, marked, shingles[counts >= OFTEN].tolist())  # only sets with links
     labelled = marked.join(label, "node", "left").select("doc_id", "text_key", F.coalesce("component", "node").alias("component"))
     return keep_first(docs, written(labelled, "similar-labels"))
