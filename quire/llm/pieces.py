@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import released
+
 MARK = "▁"
 #: Words up to CACHED characters are remembered, WORDS of them at most; from LONG characters on, a word is merged with a heap, whose cost does not grow with its square.
 CACHED, WORDS, LONG = 48, 100_000, 256
@@ -145,9 +147,8 @@ class PieceCodec:
         Characters at a word's end are cut off while no piece holds them next to the character before:
         they merge with nothing, and what is left is more often known.
         """
-        if len(self.ids) > WORDS:
-            self.ids.clear()
-            self.decimal.clear()
+        if len(self.ids) + len(words) > WORDS:
+            self.forget()
         rest_ids: dict[str, bytes] = {}
         rest_decimal: dict[str, str] = {}
         stems = {}
@@ -174,6 +175,10 @@ class PieceCodec:
                 d[w] = (self.decimal.get(w[:k]) or rest_decimal[w[:k]]) + "".join(map(self.numbers.__getitem__, tail))
         return rest_ids, rest_decimal
 
+    def forget(self) -> None:
+        self.ids.clear()
+        self.decimal.clear()
+
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str]]:
         """Ids of each text, and the same as decimal numbers each with a comma after it."""
         split = [self.split(t) for t in texts]
@@ -256,10 +261,11 @@ def digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         c = codec(proto.value)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
-            for k in range(0, b.num_rows, 1024):
-                s = b.slice(k, 1024)
+            for k in range(0, b.num_rows, 512):
+                s = b.slice(k, 512)
                 out = [(len(i), sha(d[:-1].encode()), sha(c.decode(i))) for i, d in c.encode_batch(_texts(s))]
                 n, ids, decoded = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([s.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.forget()  # the worker may do other work next
 
-    return _source(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _source(docs, id_col, text_col).mapInArrow(lambda batches: released(run(batches)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
-from .store import BITS, key_bits, unused, written
+from .store import BITS, key_bits, released, unused, written
 
 KINDS = ("email", "ip", "card", "phone")
 DISCLOSURE, SUPPORT = 0.8, 3
@@ -178,7 +178,7 @@ def _reveals_by_text(plain: DataFrame) -> DataFrame:
     texts = plain.select("text", "text_key")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _counts(repeated.value)(batches)
+        yield from released(_counts(repeated.value)(batches))
 
     once = written(texts.mapInArrow(first, SEEN), "pii-counts")
     copied = once.where("text is not null").select("text", "text_key").dropDuplicates(["text_key"])
@@ -300,7 +300,8 @@ def clean(docs: DataFrame) -> DataFrame:
     reveals = reveals.select(F.col("text_key").alias(key), F.col("reveals").alias(told))
     named = docs.withColumn("text", text)
     without = named.where(~_mentions("text"))
-    mentioned = named.where(_mentions("text")).withColumn(key, F.xxhash64("text")).join(reveals, key, "left").withColumn("text", _scrub("text", told)).select(docs.columns)
+    # A broadcast would put both Python steps into one task, and so two workers beside each other on every core; they stay and keep their memory.
+    mentioned = named.where(_mentions("text")).withColumn(key, F.xxhash64("text")).join(reveals.hint("merge"), key, "left").withColumn("text", _scrub("text", told)).select(docs.columns)
     out = without.unionByName(mentioned)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

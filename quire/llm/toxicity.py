@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import released, written
 
 # Look-alike letters, digits and signs used for letters, the base lexicon with prior weights, exception phrases.
 LOOKALIKES = {
@@ -41,6 +41,8 @@ EXCEPTIONS = ("trash can", "trash bin", "trash collection", "clown fish", "circu
 #: Sample of each label; lengths of word beginnings; least documents and least share of toxic ones for a term; covers wanted of a toxic document.
 SAMPLE, PREFIXES, LEAST_DOCS, LEAST_SHARE, COVERS = 4000, range(3, 9), 5, 0.9, 2
 THRESHOLD = 0.3
+#: Terms that a task holds while it counts them.
+TERMS = 50_000
 
 HOMOGLYPHS = str.maketrans({c: latin for latin, those in LOOKALIKES.items() for c in those})
 #: Invisible characters (soft hyphen, joiners, direction marks, selectors) and the marks that are put over letters one by one.
@@ -154,15 +156,22 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[i
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """term, clean, toxic: in how many texts; a term again whenever TERMS others have been counted."""
     found: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+
+    def counted() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([n[0] for n in found.values()], pa.int64()), pa.array([n[1] for n in found.values()], pa.int64())], names=["term", "clean", "toxic"])
+        found.clear()
+        return out
+
     for b in batches:
         for text, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
             for t in {t for w in set(_WORD.findall(fold(text))) for t in terms_of(w)}:
                 found[t][y] += 1
-    items = list(found.items())
-    for k in range(0, len(items), 50_000):
-        part = items[k : k + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in part]), pa.array([n[0] for _, n in part], pa.int64()), pa.array([n[1] for _, n in part], pa.int64())], names=["term", "clean", "toxic"])
+            if len(found) > TERMS:
+                yield counted()
+    if found:
+        yield counted()
 
 
 def choose_terms(covered: dict[str, set[int]], docs: int, cost: dict[str, float]) -> list[str]:
@@ -219,7 +228,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not clean or not toxic:
         return Model(base, DEFAULT)
-    counts = rows.mapInArrow(_count_terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = rows.mapInArrow(lambda batches: released(_count_terms(batches)), "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     rate = F.col("toxic") / toxic
     good = (F.col("toxic") >= LEAST_DOCS) & (rate / (rate + F.col("clean") / clean) >= LEAST_SHARE)
     listed = {r.term: (r.clean, r.toxic) for r in counts.where(good | F.col("term").isin(*base)).collect()}  # terms of LEAST_DOCS sampled texts or more
