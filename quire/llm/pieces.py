@@ -2,9 +2,10 @@
 
 No piece of a BPE vocabulary holds the space mark after another character, so a text falls into words
 (a run of marks and the characters up to the next) that never merge with each other. The distinct
-words of a batch are encoded together: one flat numpy array of symbols, in each round the least pair
-rank of every word (leftmost first), all those merges at once, then compaction; words without a pair
-left drop out. One merge a word and round keeps the library's order exactly.
+words of a batch are encoded together, those of like length in one numpy table (a column a word): in
+each round the least pair rank of every word (leftmost first), all those merges at once, and only the
+two pairs beside each merge looked up anew; columns without a pair left drop out. One merge a word and
+round keeps the library's order exactly.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from .store import released
 MARK = "▁"
 #: Words up to CACHED characters are remembered, WORDS of them at most; from LONG characters on, a word is merged with a heap, whose cost does not grow with its square.
 CACHED, WORDS, LONG = 48, 100_000, 256
-_NONE = np.iinfo(np.int64).max
+#: Widths of the tables of words and cells of a table; bits for a place in a word, the rank of what is no pair, and the factor that spreads pairs over their hash table.
+_WIDTHS, _CELLS = np.array([*range(2, 15), 16, 18, 20, 24, 32, 48, 64, 96, 128, 192, LONG, 512, 1024, 2047]), 1 << 18
+_BITS, _NONE, _SPREAD = 11, 1 << 30, np.uint64(0x9E3779B97F4A7C15)
 
 
 class PieceCodec:
@@ -40,9 +43,12 @@ class PieceCodec:
         self.byte_id = {b: i for i, b in byte_of.items()}
         self.normal = {sp.id_to_piece(i): i for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
         scores = {p: sp.get_score(i) for p, i in self.normal.items()}
+        if len(self.normal) >= _NONE >> _BITS:
+            raise ValueError("too many pieces")
         order = {s: k for k, s in enumerate(sorted(set(scores.values()), reverse=True))}
-        self.base = n + 0x110000  # symbols: piece ids, then n + code point for characters that are no piece
-        self.of_char = np.arange(n, self.base, dtype=np.int64)
+        self.stop = n + 0x110000  # symbols: piece ids, then n + code point for characters that are no piece, then the end of a word
+        self.base = self.stop + 1
+        self.of_char = np.arange(n, self.stop, dtype=np.int64)
         for p, i in self.normal.items():
             if len(p) == 1:
                 self.of_char[ord(p)] = i
@@ -54,9 +60,17 @@ class PieceCodec:
                 if a is not None and b is not None:
                     pairs[a * self.base + b] = (order[scores[p]], i)
         self.pairs = pairs
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.rank = np.array([pairs[k][0] for k in self.keys.tolist()], np.int64)
-        self.merged = np.array([pairs[k][1] for k in self.keys.tolist()], np.int64)
+        # Open addressing; an empty slot is where a search for no pair ends, so it has that rank.
+        bits = max(4, (8 * len(pairs) - 1).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.rank = np.full(1 << bits, _NONE, np.int32)
+        self.merged = np.zeros(1 << bits, np.int32)
+        for key, (rank, i) in pairs.items():
+            at = (key * int(_SPREAD) & 0xFFFFFFFFFFFFFFFF) >> (64 - bits)
+            while self.keys[at] >= 0:
+                at = (at + 1) & self.last
+            self.keys[at], self.rank[at], self.merged[at] = key, rank << _BITS, i
         if any(MARK in p.lstrip(MARK) for p in self.normal):
             self.words = re.compile("(?s).+")
         elif any("\n" in p for p in self.normal):
@@ -67,8 +81,9 @@ class PieceCodec:
         self.flat = np.frombuffer(b"".join(out), np.uint8)
         self.length = np.array([len(x) for x in out], np.int64)
         self.start = np.cumsum(self.length) - self.length
-        self.joined = {p[k : k + 2] for p in self.normal for k in range(len(p) - 1)}
         self.numbers = [f"{i}," for i in ids]
+        self.digits = np.array([len(x) for x in self.numbers], np.int64)
+        self.of_byte = np.array([self.byte_id.get(b, self.unk) for b in range(256)], np.int32)
         self.ids: dict[str, bytes] = {}
         self.decimal: dict[str, str] = {}
 
@@ -85,30 +100,90 @@ class PieceCodec:
                 out.append(self.unk)
         return out
 
-    def _rounds(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word (none is empty)."""
-        symbols = self.of_char[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+    def _find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Slot of each pair of symbols; an empty one for what is no pair."""
+        key = left.astype(np.int64) * self.base + right
+        at = (key.view(np.uint64) * _SPREAD >> self.shift).view(np.int64)
+        got = self.keys[at]
+        lost = np.flatnonzero((got != key) & (got >= 0))
+        while len(lost):
+            at[lost] = (at[lost] + 1) & self.last
+            got = self.keys[at[lost]]
+            lost = lost[(got != key[lost]) & (got >= 0)]
+        return at
+
+    def _table(self, symbols: np.ndarray) -> np.ndarray:
+        """Symbols of one word a column after all merges; places that are merged away or beyond a word hold the end."""
+        out, which = symbols, np.arange(symbols.shape[1])
+        rows, width = symbols.shape
+        row = np.arange(rows, dtype=np.int32)[:, None]
+        slot = np.zeros(symbols.shape, np.int32)
+        slot[:-1] = self._find(symbols[:-1].ravel(), symbols[1:].ravel()).reshape(rows - 1, width)
+        best = self.rank[slot] | row  # rank first, then place
+        best[-1] = _NONE
+        after = np.broadcast_to(row + 1, symbols.shape).copy()
+        before = np.broadcast_to(row - 1, symbols.shape).copy()
+        before[0] = rows - 1  # the last row holds ends alone
+        while True:
+            least = best.min(axis=0)
+            col = np.flatnonzero(least < _NONE)
+            if 4 * len(col) < 3 * width:
+                if symbols is not out:
+                    out[:, which] = symbols
+                if not len(col):
+                    return out
+                which, least, width = which[col], least[col], len(col)
+                symbols, slot, best, after, before = (np.ascontiguousarray(x[:, col]) for x in (symbols, slot, best, after, before))
+                col = np.arange(width)
+            s, x, b, n, p = (t.reshape(-1) for t in (symbols, slot, best, after, before))  # views
+            place = least[col] & ((1 << _BITS) - 1)
+            at = place * width + col
+            gone = n[at] * width + col
+            following, left = n[gone], p[at]
+            right_at, left_at = following * width + col, left * width + col
+            new = self.merged[x[at]]
+            s[at], s[gone], b[gone], n[at], p[right_at] = new, self.stop, _NONE, following, place
+            found = self._find(np.concatenate([s[left_at], new]), np.concatenate([new, s[right_at]]))
+            ranks, k = self.rank[found], len(col)
+            x[left_at], x[at] = found[:k], found[k:]
+            b[left_at], b[at] = ranks[:k] | left, ranks[k:] | place
+
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words (none is empty, none has over 2,047 characters) one after the other, and where each word's begin, with their end."""
+        symbols = self.of_char[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)].astype(np.int32)
         lengths = np.array([len(w) for w in words], np.int64)
-        which, out = np.arange(len(words)), [None] * len(words)
-        while len(which):
-            ends = np.cumsum(lengths)
-            starts = ends - lengths
-            key = symbols[:-1] * self.base + symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            best = np.full(len(symbols), _NONE)
-            hit = np.flatnonzero(self.keys[at] == key)
-            best[hit] = self.rank[at[hit]] * len(symbols) + hit  # rank first, then place
-            best[ends - 1] = _NONE
-            least = np.minimum.reduceat(best, starts)
-            live = least != _NONE
-            for w, a, b in zip(which[~live].tolist(), starts[~live].tolist(), ends[~live].tolist(), strict=True):
-                out[w] = self._finish(symbols[a:b].tolist())
-            place = least[live] % len(symbols)
-            symbols[place] = self.merged[at[place]]
-            keep = np.repeat(live, lengths)
-            keep[place + 1] = False
-            symbols, lengths, which = symbols[keep], lengths[live] - 1, which[live]
-        return out
+        starts = np.cumsum(lengths) - lengths
+        size = np.searchsorted(_WIDTHS, lengths)
+        for g in np.unique(size).tolist():
+            mine = np.flatnonzero(size == g)
+            step = _CELLS // int(_WIDTHS[g])
+            for k in range(0, len(mine), step):
+                part = mine[k : k + step]
+                row = np.arange(_WIDTHS[g] + 1)[:, None]
+                inside = row < lengths[part]
+                at = np.where(inside, starts[part] + row, 0)
+                done = self._table(np.where(inside, symbols[at], np.int32(self.stop)))
+                symbols[at[inside]] = done[inside]
+        kept = symbols != self.stop
+        counts = np.add.reduceat(kept, starts, dtype=np.int64)
+        ids = symbols[kept]
+        odd = np.flatnonzero(ids >= self.size)
+        if len(odd):
+            chars = ids[odd] - self.size
+            n = (1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF)) if self.byte_id else np.ones(len(odd), np.int64)
+            raw = np.frombuffer("".join(map(chr, chars.tolist())).encode(), np.uint8)
+            times = np.ones(len(ids), np.int64)
+            times[odd] = n
+            which = np.repeat(np.arange(len(words)), counts)
+            counts = counts + np.bincount(which[odd], n - 1, len(words)).astype(np.int64)
+            ids = np.repeat(ids, times)
+            ids[ids >= self.size] = self.of_byte[raw] if self.byte_id else self.unk
+        return ids, np.concatenate([[0], np.cumsum(counts)])
+
+    def _rounds(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word, as `_merged` takes them."""
+        ids, ends = self._merged(words)
+        return [x.tolist() for x in np.split(ids, ends[1:-1])]
 
     def _heap(self, word: str) -> list[int]:
         symbols = self.of_char[np.frombuffer(word.encode("utf-32-le"), np.uint32)].tolist()
@@ -142,37 +217,28 @@ class PieceCodec:
         return self.words.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def learn(self, words: set[str]) -> tuple[dict[str, bytes], dict[str, str]]:
-        """Remembers the ids of new short words; returns those of the other new words.
-
-        Characters at a word's end are cut off while no piece holds them next to the character before:
-        they merge with nothing, and what is left is more often known.
-        """
+        """Remembers the ids of new short words; returns those of the other new words."""
         if len(self.ids) + len(words) > WORDS:
             self.forget()
         rest_ids: dict[str, bytes] = {}
         rest_decimal: dict[str, str] = {}
-        stems = {}
-        for w in words:
-            if w not in self.ids:
-                k = len(w)
-                while k > 1 and w[k - 2 : k] not in self.joined:
-                    k -= 1
-                stems[w] = k
-        todo = list({w[:k] for w, k in stems.items()} - self.ids.keys())
-        short = [w for w in todo if len(w) < LONG]
-        found = dict(zip(short, self._rounds(short), strict=True)) if short else {}
-        for w in todo:
-            if len(w) >= LONG:
-                found[w] = self._heap(w)
-        for w, x in found.items():
-            i, d = (self.ids, self.decimal) if len(w) <= CACHED else (rest_ids, rest_decimal)
-            i[w], d[w] = array("i", x).tobytes(), "".join(map(self.numbers.__getitem__, x))
-        for w, k in stems.items():
-            if k < len(w):
-                tail = [i for c in w[k:] for i in self._finish([int(self.of_char[ord(c)])])]
-                i, d = (self.ids, self.decimal) if len(w) <= CACHED else (rest_ids, rest_decimal)
-                i[w] = (self.ids.get(w[:k]) or rest_ids[w[:k]]) + array("i", tail).tobytes()
-                d[w] = (self.decimal.get(w[:k]) or rest_decimal[w[:k]]) + "".join(map(self.numbers.__getitem__, tail))
+        short: list[str] = []
+        for w in words - self.ids.keys():
+            if len(w) < LONG:
+                short.append(w)
+            else:
+                x = self._heap(w)
+                rest_ids[w], rest_decimal[w] = array("i", x).tobytes(), "".join(map(self.numbers.__getitem__, x))
+        if short:
+            ids, ends = self._merged(short)
+            raw, decimal = ids.astype("i4").tobytes(), "".join(map(self.numbers.__getitem__, ids.tolist()))
+            digits = np.concatenate([[0], np.cumsum(self.digits[ids])])[ends].tolist()
+            ends = (4 * ends).tolist()
+            for w, a, b, c, d in zip(short, ends, ends[1:], digits, digits[1:]):
+                if len(w) <= CACHED:
+                    self.ids[w], self.decimal[w] = raw[a:b], decimal[c:d]
+                else:
+                    rest_ids[w], rest_decimal[w] = raw[a:b], decimal[c:d]
         return rest_ids, rest_decimal
 
     def forget(self) -> None:
