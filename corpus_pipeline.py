@@ -1,12 +1,13 @@
 """Corpus pipeline: five operators of quire.llm, one after the other over `documents`.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last
-return the columns of documents. Texts of any length are worked on whole.
+return the columns of documents. Texts of any length are worked on whole. Every stage first lets the executors
+give back the memory of what ran before it.
 """
 
 from quire.llm import decontamination, pieces, pii, similar, toxicity
 from quire.llm.queries import PIECES
-from quire.llm.store import table, written
+from quire.llm.store import give_back, table, written
 
 
 def drop_toxic(spark, docs, sf_dir):
@@ -15,6 +16,7 @@ def drop_toxic(spark, docs, sf_dir):
     Null and empty texts have no hits and stay; repeated rows share the fate of their text; without labels the fixed
     lexicon counts alone; an empty table gives an empty one. Extra columns of any name pass through, here and in the next three stages.
     """
+    give_back(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -24,6 +26,7 @@ def drop_near_duplicates(spark, docs, sf_dir):
     It is the one with the smallest doc_id, a null id coming last; ties go to the least hash of the text, then of the row, and repeated rows
     become one. Null texts, empty ones and those without words are one group. An empty table gives an empty one.
     """
+    give_back(spark)
     return similar.drop_similar(docs)
 
 
@@ -32,6 +35,7 @@ def drop_benchmark_leaks(spark, docs, sf_dir):
 
     Null and empty texts hold none; rows that share an id, a null one too, go together; an empty table gives an empty one.
     """
+    give_back(spark)
     return decontamination.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -40,6 +44,7 @@ def sanitise(spark, docs, sf_dir):
 
     Null texts stay null, empty ones empty; rows with one text get one text, whatever their ids; an empty table gives an empty one.
     """
+    give_back(spark)
     return pii.clean(docs)
 
 
@@ -49,6 +54,7 @@ def encode(spark, docs, sf_dir):
     Null text counts as empty, which has no ids; repeated rows and rows with a null id each give a row; other columns end here; an
     empty table gives an empty one.
     """
+    give_back(spark)
     return pieces.digest(docs, PIECES)
 
 

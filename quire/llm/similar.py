@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .simhash import SEED, keep_first, links, majority, shingle_hashes
-from .store import BITS, key_bits, parts, released, written
+from .store import BITS, give_back, key_bits, parts, released, written
 
 WIDTH = 5
 #: Bits that the fingerprints of a candidate differ in at most, positional bytes that they share at least.
@@ -236,6 +236,7 @@ def classes(texts: DataFrame, marked: DataFrame, frequent: list[int]) -> DataFra
     """node and component of the shingle sets that are connected with others by steps of a Jaccard similarity of at least 0.8.
     frequent: shingles whose lists may be too long for one task, KNOWN at most."""
     spark = texts.sparkSession
+    give_back(spark)
     sketches = written(_sketches(marked), "similar-sketches")
     pairs = written(_allowed(_by_fingerprint(sketches), sketches), "similar-fp-pairs")
     whole = _whole(written(_ends(pairs), "similar-nodes"), texts, marked)
@@ -243,6 +244,7 @@ def classes(texts: DataFrame, marked: DataFrame, frequent: list[int]) -> DataFra
     label = written(components(linked), "similar-classes")
     sketches = written(sketches.drop("fp").join(label, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component"), "similar-sketches")
 
+    give_back(spark)
     order = F.xxhash64("node")
     members = marked.where("first is not null").select("node", "n", F.posexplode("first").alias("place", "h"))
     hot = F.broadcast(spark.createDataFrame([(h,) for h in frequent], "h long"))
@@ -256,6 +258,7 @@ def classes(texts: DataFrame, marked: DataFrame, frequent: list[int]) -> DataFra
     pairs = written(_allowed(pairs, sketches, "class"), "similar-first-pairs")
     nodes = written(_ends(pairs), "similar-nodes")
     whole = _more(nodes, whole, texts, marked)
+    give_back(spark)
     first = linked.union(_verified(pairs, whole.join(nodes, "node", "left_semi")))
     label = written(components(first), "similar-classes")
     long = walked.where("h is not null").select("h", "node", "n", "place").union(often.select("h", "node", "n", "place"))
